@@ -103,3 +103,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     e = now.df
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Memo(dict):
+    """A bounded cache that fills itself by ``make(key)``; of two generations, the older is dropped when full."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
