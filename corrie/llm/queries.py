@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corrie.llm import media, packing, pii, simhash, token_counts
+from corrie.llm import lines, media, packing, pii, simhash, token_counts
 from corrie.llm.common import small_batches, table
 
 
@@ -16,6 +16,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_chars")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,7 +41,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_packing, op5_pii, op6_media, op7_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash)}
 
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {}
