@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corrie.llm import lines, media, packing, pii, simhash, token_counts
-from corrie.llm.common import small_batches, table
+from corrie.llm import lines, media, packing, pieces, pii, quality, simhash, token_counts, toxicity
+from corrie.llm.common import prepare, table
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -22,26 +22,43 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return pii.pii_digest(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash)}
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality)}
 
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {}
