@@ -1,0 +1 @@
+"""Topology of scalar fields on dense grids, and training-data operators, as Spark DataFrame plans."""
