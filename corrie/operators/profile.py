@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrie.store import ship
+
 
 @dataclass(frozen=True)
 class PathProfile:
@@ -83,5 +85,6 @@ def pruned_profiles(path: DataFrame, min_persistence: float) -> DataFrame:
         rows = cancelled(list(zip(pdf["kind"], pdf["path_index"], pdf["e"])), min_persistence)
         return pd.DataFrame([(pdf["path_id"].iloc[0], *r) for r in rows], columns=["path_id", "kind", "path_index", "e"])
 
+    ship(path.sparkSession)
     kind = path.schema["path_id"].dataType.simpleString()
     return profile_extrema(path).groupBy("path_id").applyInPandas(one, f"path_id {kind}, kind string, path_index long, e double")

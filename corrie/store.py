@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Applications whose Python workers have the library.
+shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this library's modules, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="modules-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as box:
+        for module in sorted(root.rglob("*.py")):
+            box.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(path))
+    shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
