@@ -48,14 +48,14 @@ def features(text: str) -> list[int]:
 
 
 def feature_rows(docs: DataFrame, id_column: str, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns and ``features`` of each row."""
+    """The kept columns and ``features`` (32-bit numbers, packed) of each row."""
     fields = ", ".join(f"`{c}` {id_type(docs, c)}" for c in keep)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([features(t) for t in texts_of(batch, text)], pa.list_(pa.int32()))
+        found = pa.array([np.array(features(t), np.int32).tobytes() for t in texts_of(batch, text)], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), found], [*keep, "features"])
 
-    return map_arrow(docs, [*keep, text], make, f"{fields}, features array<int>")
+    return map_arrow(docs, [*keep, text], make, f"{fields}, features binary")
 
 
 @dataclass
@@ -68,16 +68,25 @@ class Rows:
     n: int
 
     @staticmethod
-    def of(lists: list[list[int]]) -> Rows:
+    def of(lists: list) -> Rows:
         sizes = np.array([len(x) for x in lists], np.int64)
-        row = np.repeat(np.arange(len(lists)), sizes)
-        index = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-        return Rows(index, row, (1 / np.sqrt(np.maximum(sizes / (1 + len(PREFIXES)), 1)))[row].astype(np.float32), len(lists))
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
+        index = np.concatenate([np.asarray(x, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
+        length = np.sqrt(np.maximum(sizes / (1 + len(PREFIXES)), 1)).astype(np.float32)
+        return Rows(index, row, 1 / length[row], len(lists))
 
     def frequency(self) -> np.ndarray:
         """In how many rows each feature is."""
-        seen = np.unique(self.row * SIZE + self.index)
-        return np.bincount(seen % SIZE, minlength=SIZE).astype(float)
+        found = np.zeros(SIZE)
+        borders = np.searchsorted(self.row, np.arange(self.n + 1))
+        for a, b in zip(borders, borders[1:]):
+            found[np.unique(self.index[a:b])] += 1
+        return found
+
+    def only(self, chosen: np.ndarray) -> Rows:
+        """The same rows with the chosen features alone."""
+        kept = chosen[self.index]
+        return Rows(self.index[kept], self.row[kept], self.value[kept], self.n)
 
     def score(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.index] * self.value, self.n)

@@ -44,6 +44,7 @@ def learn(positive: Rows, unlabelled: Rows, prior: float) -> Linear:
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     telling = distinctive(positive, unlabelled)
+    positive, unlabelled = positive.only(telling), unlabelled.only(telling)
 
     def gradient(x: np.ndarray) -> np.ndarray:
         w, b = x[:-1], x[-1]
@@ -55,7 +56,7 @@ def learn(positive: Rows, unlabelled: Rows, prior: float) -> Linear:
             by_p, by_u = up + down_p, down_u
         else:
             by_p, by_u = -down_p, -down_u
-        g = (positive.gradient(by_p) + unlabelled.gradient(by_u)) * telling + DECAY * w
+        g = positive.gradient(by_p) + unlabelled.gradient(by_u) + DECAY * w
         return np.append(g, by_p.sum() + by_u.sum())
 
     found = adam(gradient, STEPS, RATE)
@@ -80,7 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     joined = texts.join(F.broadcast(Stored(ids, "drawn").df), "id")
     rows = feature_rows(joined, "id", "text", ["p", "q", "id"]).collect()
     rows = sorted(rows, key=lambda r: (r.id, len(r.features)))
-    return learn(Rows.of([r.features for r in rows if r.p == 1]), Rows.of([r.features for r in rows if r.q == 0]), prior)
+    read = lambda chosen: Rows.of([np.frombuffer(r.features, np.int32) for r in chosen])
+    return learn(read([r for r in rows if r.p == 1]), read([r for r in rows if r.q == 0]), prior)
 
 
 def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text: str = "text") -> DataFrame:
