@@ -120,6 +120,8 @@ class Pieces:
         self.shown[self.unknown] = proto.trainer_spec.unk_surface
         self.silent = {i for i, k in enumerate(kinds) if k == CONTROL}
         self.by_number = {i: b for b, i in self.bytes.items()}
+        self.is_byte = np.zeros(len(self.names), bool)
+        self.is_byte[list(self.by_number)] = True
         self.memo = Memo(lambda unit: np.array(self.viterbi(unit), self.dtype).tobytes(), MEMO)
 
     def viterbi(self, unit: str) -> list[int]:
@@ -154,10 +156,11 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """Text of piece numbers; byte runs are UTF-8, each byte that is not becomes U+FFFD."""
+        plain = isinstance(ids, np.ndarray) and not self.is_byte[ids].any()
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         first = next((i for i in ids if i not in self.silent), self.unknown)
         strip = bool(self.prefix) and self.names[first].startswith(MARK)
-        if self.by_number.keys().isdisjoint(ids):
+        if plain or self.by_number.keys().isdisjoint(ids):
             return "".join(map(self.shown.__getitem__, ids))[strip:]
         out, run = [], bytearray()
         for i in [*ids, None]:
@@ -215,11 +218,10 @@ def piece_digest(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = pieces(data)
-        numbers = np.array(sorted(code.by_number))
         rows = []
         for t in texts_of(batch, text):
             ids = code.encode(t)
-            rows.append((len(ids), int(np.isin(ids, numbers).sum()), zlib.crc32(ids.astype("<u4").tobytes()), code.decode(ids) == t))
+            rows.append((len(ids), int(np.count_nonzero(code.is_byte[ids])), zlib.crc32(ids.astype("<u4").tobytes()), code.decode(ids) == t))
         columns = [*zip(*rows, strict=True)] or [[]] * 4
         arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
