@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrie.store import shared_dir, ship
+
 #: Texts handled together inside one Arrow batch. Long texts make a batch large, so it is small.
 ROWS = 256
-#: Applications whose workers have the library.
-shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed() -> str:
-    """A zip of this library's modules in a folder of the driver, from which executors fetch it."""
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="modules-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as box:
-        for module in sorted(root.rglob("*.py")):
-            box.write(module, module.relative_to(root.parent))
-    return str(path)
-
-
 def prepare(spark: SparkSession, rows: int = 2 * ROWS) -> None:
     """Ship the library to Python workers, and keep Arrow batches to few rows: long texts make them large."""
-    context = spark.sparkContext
-    if context.applicationId not in shipped:
-        context.addPyFile(packed())
-        shipped.add(context.applicationId)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -63,18 +47,6 @@ def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 class Stored:
     """A table written once to the shared folder: it cuts lineage and survives lost executors."""
 

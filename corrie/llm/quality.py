@@ -91,19 +91,24 @@ LABELLERS = {
 }
 
 
-def votes(text: str) -> str:
+def votes(shape: Shape) -> str:
     """One character for each labeller: good +, bad -, abstain 0."""
-    shape = Shape(text)
     return "".join("-+0"[label(shape)] for label in LABELLERS.values())
 
 
-def vote_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id and ``votes`` of each row; null texts vote as empty ones."""
+#: A feature as stored: hashed place and value.
+FEATURE = np.dtype([("place", "<i4"), ("value", "<f4")])
+
+
+def seen_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id, ``votes`` and ``found`` (features, packed) of each row, in one reading; null texts count as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in texts_of(batch, text)], pa.string())], [id_column, "votes"])
+        shapes = [Shape(t) for t in texts_of(batch, text)]
+        found = [np.array(sorted(features(s).items()), FEATURE).tobytes() for s in shapes]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(s) for s in shapes], pa.string()), pa.array(found, pa.binary())], [id_column, "votes", "found"])
 
-    return map_arrow(docs, [id_column, text], run, f"`{id_column}` {id_type(docs, id_column)}, votes string")
+    return map_arrow(docs, [id_column, text], run, f"`{id_column}` {id_type(docs, id_column)}, votes string, found binary")
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
@@ -139,9 +144,8 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tup
     return dict(zip(names, fine.tolist(), strict=True)), accuracy, float((weight @ fine) / weight.sum())
 
 
-def features(text: str) -> dict[int, float]:
+def features(s: Shape) -> dict[int, float]:
     """Hashed: the level of each count, and word shapes by their share of the words."""
-    s = Shape(text)
     found: dict[int, float] = {}
 
     def add(name: str, value: float) -> None:
@@ -161,16 +165,17 @@ class Scorer:
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights, intercept
 
-    def probability(self, text: str) -> float:
-        margin = self.intercept + sum(self.weights[p] * v for p, v in features(text).items())
+    def probability(self, found: np.ndarray) -> float:
+        """Of one text's features."""
+        margin = self.intercept + float(self.weights[found["place"]] @ found["value"].astype(float))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
-def fit(rows: list[dict[int, float]], target: np.ndarray) -> Scorer:
+def fit(rows: list[np.ndarray], target: np.ndarray) -> Scorer:
     """Logistic regression on soft labels, each class weighted alike, by Adam."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    place = np.array([p for r in rows for p in r], np.int64)
-    value = np.array([v for r in rows for v in r.values()])
+    both = np.concatenate(rows) if rows else np.zeros(0, FEATURE)
+    place, value = both["place"].astype(np.int64), both["value"].astype(float)
     share = min(0.99, max(0.01, float(target.mean()))) if len(rows) else 0.5
     weight = (target / share + (1 - target) / (1 - share)) / 2 / max(1, len(rows))
 
@@ -183,38 +188,32 @@ def fit(rows: list[dict[int, float]], target: np.ndarray) -> Scorer:
     return Scorer(found[:-1], float(found[-1]))
 
 
-def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
-    """Votes of all rows, EM on their patterns, and the scorer from at most ``sample`` rows.
+def train(seen: DataFrame, id_column: str = "doc_id", sample: int = SAMPLE) -> Scorer:
+    """EM on the patterns of all rows' votes, and the scorer from at most ``sample`` rows of ``seen_rows``.
 
     The sample takes half from each side of posterior 0.5 where there are enough, by smallest hash of id.
     """
-    cast = Stored(vote_rows(docs, id_column, text), "votes").df
-    patterns = {r.votes: r.n for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    patterns = {r.votes: r.n for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation_maximisation(patterns)
     good = [p for p, x in posterior.items() if x >= 0.5]
-    order = F.xxhash64(id_column)
-    ids = [drawn(cast.where(side).select(id_column, "votes"), order, sample // 2) for side in (F.col("votes").isin(good), ~F.col("votes").isin(good))]
-    chosen = Stored(ids[0].unionByName(ids[1]).where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min("votes").alias("votes")), "drawn").df
-    texts = docs.select(F.col(id_column), F.col(text).alias("text")).join(F.broadcast(chosen), id_column)
-    kind = pa.list_(pa.struct([("p", pa.int32()), ("v", pa.float64())]))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[{"p": p, "v": v} for p, v in sorted(features(t).items())] for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], [id_column, "votes", "found"])
-
-    rows = map_arrow(texts, [id_column, "votes", "text"], run, f"`{id_column}` {id_type(docs, id_column)}, votes string, found array<struct<p:int,v:double>>").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r.votes, len(r.found)))
-    return fit([{x.p: x.v for x in r.found} for r in rows], np.array([posterior[r.votes] for r in rows]))
+    order = F.xxhash64(id_column, "votes")
+    sides = F.col("votes").isin(good), ~F.col("votes").isin(good)
+    rows = [r for side in sides for r in drawn(seen.where(side), order, sample // 2).collect()]
+    rows.sort(key=lambda r: (r[0] is None, r[0], bytes(r.found)))
+    return fit([np.frombuffer(bytes(r.found), FEATURE) for r in rows], np.array([posterior[r.votes] for r in rows]))
 
 
-def score(docs: DataFrame, model: Scorer, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: the id, ``quality`` (0 to 1) and ``keep`` (quality >= 0.5).
 
-    Null texts are scored as empty ones; repeated rows each get their row; other columns are not carried.
+    Votes and features of all rows are made once and stored; model and scores come from there. Null texts
+    are scored as empty ones; repeated rows each get their row; other columns are not carried.
     """
+    seen = Stored(seen_rows(docs, id_column, text), "seen").df
+    model = train(seen, id_column, sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [model.probability(t) for t in texts_of(batch, text)]
+        found = [model.probability(np.frombuffer(x, FEATURE)) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([x >= 0.5 for x in found], pa.bool_())], [id_column, "quality", "keep"])
 
-    return map_arrow(docs, [id_column, text], run, f"`{id_column}` {id_type(docs, id_column)}, quality double, keep boolean")
+    return map_arrow(seen, [id_column, "found"], run, f"`{id_column}` {id_type(docs, id_column)}, quality double, keep boolean")

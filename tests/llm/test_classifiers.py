@@ -78,12 +78,12 @@ def test_label_model_recovers_known_accuracies():
 
 def test_quality_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").withColumnRenamed("quality", "truth")
-    found = quality.score(docs, quality.train(docs)).join(labels, "doc_id").collect()
+    found = quality.score(docs).join(labels, "doc_id").collect()
     assert sum(r.keep == bool(r.truth) for r in found) >= 0.97 * len(found)
     assert sum(not r.keep for r in found if r.truth) <= 0.01 * sum(r.truth for r in found)
 
 
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "a b", "y"), (2, "", "z"), (2, "", "z"), (3, "w " * 50_000, "v")], "doc_id long, text string, keep string")
-    assert quality.score(docs, quality.train(docs)).count() == 5
-    assert quality.score(docs.limit(0), quality.train(docs.limit(0))).count() == 0
+    assert quality.score(docs).count() == 5
+    assert quality.score(docs.limit(0)).count() == 0
