@@ -2,7 +2,7 @@
 
 Features of a text are its distinct lower-case words and, for each, its first four, five and six letters,
 so that inflected forms share a feature; all are hashed to ``SIZE`` places. A text's value is the sum of
-its features' weights over the square root of the number of its words, plus an intercept: the sum runs
+its features' weights over the square root of a fourth of their number, plus an intercept: the sum runs
 over a cache of each word's total weight, so scoring costs one look-up for each word.
 """
 
@@ -24,8 +24,6 @@ BITS = 18
 SIZE = 1 << BITS
 PREFIXES = (4, 5, 6)
 MEMO = 300_000
-#: Distinct words of one training text that are used at most; longer ones give an even spread of theirs.
-TRAIN_WORDS = 600
 
 WORD = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+")
 
@@ -41,10 +39,13 @@ def places(word: str) -> list[int]:
 
 
 def features(text: str) -> list[int]:
-    """Training features: for each distinct word, its places."""
-    distinct = sorted(set(words(text)))
-    step = max(1, -(-len(distinct) // TRAIN_WORDS))
-    return [p for w in distinct[::step] for p in places(w)]
+    """Training features: for each distinct word, its places; all words, as in scoring."""
+    return [p for w in sorted(set(words(text))) for p in places(w)]
+
+
+def length(n: np.ndarray) -> np.ndarray:
+    """What a text's sum of weights is divided by, in training and in scoring alike, from its number of features."""
+    return np.sqrt(np.maximum(n / (1 + len(PREFIXES)), 1))
 
 
 def feature_rows(docs: DataFrame, id_column: str, text: str, keep: list[str]) -> DataFrame:
@@ -72,8 +73,7 @@ class Rows:
         sizes = np.array([len(x) for x in lists], np.int64)
         row = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
         index = np.concatenate([np.asarray(x, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
-        length = np.sqrt(np.maximum(sizes / (1 + len(PREFIXES)), 1)).astype(np.float32)
-        return Rows(index, row, 1 / length[row], len(lists))
+        return Rows(index, row, (1 / length(sizes).astype(np.float32))[row], len(lists))
 
     def frequency(self) -> np.ndarray:
         """In how many rows each feature is."""
@@ -110,14 +110,17 @@ class Linear:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def word(self, word: str) -> float:
-        return float(self.weights[places(word)].sum())
+    def word(self, word: str) -> tuple[float, int]:
+        """Total weight and number of a word's features."""
+        found = places(word)
+        return float(self.weights[found].sum()), len(found)
 
     def margin(self, text: str) -> float:
         found = set(words(text))
         if not found:
             return self.intercept
-        return math.fsum(map(self.memo.__getitem__, found)) / math.sqrt(len(found)) + self.intercept
+        weights, counts = zip(*map(self.memo.__getitem__, found))
+        return math.fsum(weights) / float(length(sum(counts))) + self.intercept
 
     def probability(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(text)))))

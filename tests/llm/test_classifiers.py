@@ -48,6 +48,17 @@ def test_non_negative_estimator_separates():
     assert abs(empty.probability("anything") - 0.2) < 1e-9 and empty.weights.shape == (SIZE,)
 
 
+def test_long_training_texts_are_read_whole_and_as_in_scoring(spark):
+    from corrie.llm.features import Linear, feature_rows
+
+    text = " ".join(f"w{i}" for i in range(2000)) + " of a vileness"
+    rows = feature_rows(spark.createDataFrame([(1, text), (2, "of a b"), (3, None)], "id long, text string"), "id", "text", ["id"]).orderBy("id").collect()
+    weights = np.random.default_rng(0).standard_normal(SIZE)
+    read = Rows.of([np.frombuffer(r.features, np.int32) for r in rows])
+    assert set(places("vileness")) <= set(np.frombuffer(rows[0].features, np.int32).tolist())
+    assert np.allclose(read.score(weights), [Linear(weights, 0.0).margin(t) for t in (text, "of a b", "")], rtol=1e-4, atol=1e-4)
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "a b", "y"), (2, "", "z"), (2, "", "z")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(2, 1), (1, None)], "doc_id long, toxic int")
