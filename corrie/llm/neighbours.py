@@ -6,7 +6,8 @@ meeting place where its neighbours and those that have it as a neighbour are com
 each keeps its ``WIDTH`` best. Rounds go on until few lists change or ``ROUNDS`` have run. A list whose worst
 entry still reaches the threshold is saturated: it is enlarged to its whole connected group, whose members
 are compared block by block, so that crowds of close vectors lose no link. Recall is audited for a set of
-vectors against all others, and if it is short of ``TARGET``, more projections and rounds are added.
+vectors against all others, and if it is short of ``TARGET``, more projections and rounds are added; if it
+still is after ``TRIES``, all vectors are compared block by block.
 
 Meeting places with many members are split into parts of bounded size, so no task holds an unbounded group.
 """
@@ -147,20 +148,27 @@ def counted(nodes: DataFrame, links: DataFrame, crowded: DataFrame, threshold: f
             if len(a) and len(b):
                 linked = (x[a] @ x[b].T >= threshold) & (node[a][:, None] != node[b][None, :])
                 some = linked.any(1)
-                low = np.where(linked, node[b], np.iinfo(np.int64).max).min(1)
-                high = np.where(linked, node[b], np.iinfo(np.int64).min).max(1)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a][some]), pa.array((linked @ mult[b])[some]), pa.array(low[some]), pa.array(high[some])], ["node", "linked", "low", "high"])
+                most, label, before = np.iinfo(np.int64).max, node[a], None
+                while before is None or (label != before).any():
+                    before = label
+                    other = np.minimum(node[b], np.where(linked, label[:, None], most).min(0))
+                    label = np.minimum(label, np.where(linked, other, most).min(1))
+                yield pa.RecordBatch.from_arrays([pa.array(node[a][some]), pa.array((linked @ mult[b])[some]), pa.array(label[some])], ["node", "linked", "label"])
 
     dealt = left.unionByName(right).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
-    whole = Stored(dealt.mapInArrow(run, "node long, linked long, low long, high long"), "crowds").df
+    whole = Stored(dealt.mapInArrow(run, "node long, linked long, label long"), "crowds").df
     loose = links.join(crowded.select(F.col("node").alias("source")), "source", "left_anti").join(nodes.select(F.col("node").alias("target"), "mult"), "target")
     totals = whole.select("node", "linked").unionByName(loose.select(F.col("source").alias("node"), F.col("mult").alias("linked"))).groupBy("node").agg(F.sum("linked").alias("linked"))
-    more = whole.select(F.col("node").alias("source"), F.col("low").alias("target")).unionByName(whole.select(F.col("node").alias("source"), F.col("high").alias("target")))
+    more = whole.select(F.col("node").alias("source"), F.col("label").alias("target"))
     return totals, links.select("source", "target").unionByName(more)
 
 
 def audited(nodes: DataFrame, totals: DataFrame, threshold: float) -> float:
-    """Share of true links found, over at most ``AUDIT`` vectors (smallest hashes), by comparing them with all."""
+    """Share of true links found, by comparing at most ``AUDIT`` vectors (smallest hashes) with all.
+
+    Shares are averaged over vectors that have links, apart for those with more than ``WIDTH`` links; the
+    lower average counts, so crowds cannot hide what small groups miss.
+    """
     asked = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).select("dim", "node", "vec").collect()
     by_dim = {d: ([r.node for r in asked if r.dim == d], np.array([r.vec for r in asked if r.dim == d], float)) for d in {r.dim for r in asked}}
     by_dim = {d: (np.array(n), x / np.linalg.norm(x, axis=1, keepdims=True)) for d, (n, x) in by_dim.items()}
@@ -177,8 +185,9 @@ def audited(nodes: DataFrame, totals: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(names[n > 0]), pa.array(n[n > 0])], ["node", "true"])
 
     true = nodes.select("dim", "node", "vec", "mult").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(totals, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.coalesce("linked", F.lit(0))).alias("found")).first()
-    return 1.0 if not row.true else row.found / row.true
+    share = F.least(F.coalesce("linked", F.lit(0)) / F.col("true"), F.lit(1.0))
+    rows = true.join(totals, "node", "left").groupBy((F.col("true") > WIDTH).alias("crowd")).agg(F.avg(share).alias("share")).collect()
+    return min((r.share for r in rows), default=1.0)
 
 
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -221,6 +230,9 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
         totals = Stored(totals, "totals").df
         if audited(nodes, totals, threshold) >= TARGET:
             break
+    else:
+        totals, connecting = counted(nodes, links, nodes.select("node", F.col("dim").alias("group")), threshold)
+        totals = Stored(totals, "totals").df
     reached = components(connecting, "source", "target")
     named = nodes.join(reached, "node", "left").join(totals, "node", "left").select("vec", "least", (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     named = Stored(named, "named").df

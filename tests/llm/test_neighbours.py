@@ -51,3 +51,16 @@ def test_runs_cut_and_join_batches():
 def test_no_vectors(spark):
     docs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.near_vectors(docs).count() == 0
+
+
+def test_a_missed_audit_leads_to_the_exact_comparison(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "projected", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.EDGES))
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 8))
+    rows = [(c + 0.05 * rng.standard_normal(8)).astype(np.float32).tolist() for c in centres for _ in range(2)]
+    found = neighbours.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
+    counts, label = brute(rows)
+    assert [r.component_id for r in found] == label and [r.n_links for r in found] == counts and any(counts)
