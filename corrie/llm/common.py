@@ -174,12 +174,20 @@ def joined_groups(entries: DataFrame, nodes: DataFrame, fits, verify, stars: int
 
 
 class Memo(dict):
-    """A bounded cache that fills itself by ``make(key)``; of two generations, the older is dropped when full."""
+    """A bounded cache that fills itself by ``make(key)``; of two generations, the older is dropped when full.
+
+    Keys of more than ``LONGEST`` characters are made anew each time, so both generations together hold at
+    most ``2 * size`` keys of that length.
+    """
+
+    LONGEST = 64
 
     def __init__(self, make, size: int):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
