@@ -41,33 +41,38 @@ def learn(positive: Rows, unlabelled: Rows, prior: float) -> Linear:
     """Fit by the non-negative estimator; without positives every text has the prior."""
     if not positive.n or not unlabelled.n:
         return Linear(np.zeros(SIZE), float(np.log(prior / (1 - prior))))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
     telling = distinctive(positive, unlabelled)
     positive, unlabelled = positive.only(telling), unlabelled.only(telling)
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        w, b = x[:-1], x[-1]
-        zp, zu = positive.score(w) + b, unlabelled.score(w) + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = -prior * sigmoid(-zp) / positive.n
-        down_p, down_u = -prior * sigmoid(zp) / positive.n, sigmoid(zu) / unlabelled.n
-        if negative >= 0:
-            by_p, by_u = up + down_p, down_u
-        else:
-            by_p, by_u = -down_p, -down_u
-        g = positive.gradient(by_p) + unlabelled.gradient(by_u) + DECAY * w
-        return np.append(g, by_p.sum() + by_u.sum())
+        found = risk(positive, unlabelled, prior, x[:-1], x[-1])[1]
+        found[:-1] += DECAY * x[:-1]
+        return found
 
     found = adam(gradient, STEPS, RATE)
     return Linear(found[:-1], float(found[-1]))
 
 
+def risk(positive: Rows, unlabelled: Rows, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the gradient of the step: where the negative part is below zero, of its return to zero."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    zp, zu = positive.score(w) + b, unlabelled.score(w) + b
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up = -prior * sigmoid(-zp) / positive.n
+    down_p, down_u = -prior * sigmoid(zp) / positive.n, sigmoid(zu) / unlabelled.n
+    by_p, by_u = (up + down_p, down_u) if negative >= 0 else (-down_p, -down_u)
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    return value, np.append(positive.gradient(by_p) + unlabelled.gradient(by_u), by_p.sum() + by_u.sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
     """Learn from rows outside the held-out fold: at most ``positives`` labelled 1, ``unlabelled`` of all.
 
-    Both samples take the rows with the smallest hashes of their ids. Rows with null labels are unlabelled;
-    null texts count as empty; a label of an id that repeats counts once for each row.
+    Both samples take the rows with the smallest hashes of their ids, and of an id that repeats the row with the
+    smallest hash of its text, so at most ``positives + unlabelled`` rows are gathered. The unlabelled ones
+    stand for all texts in the risk estimate: its error falls with the root of their number, whatever the size
+    of the corpus. Rows with null labels are unlabelled, and so are null ids; null texts count as empty. Without
+    labels the prior is 0.5; without positives or texts every score is the prior.
     """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & ~held_out("id"))
     counts = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0)).alias("k")).first()
@@ -79,6 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     both = toxic.select("id", F.lit(1).alias("y")).unionByName(chosen.select("id", F.lit(0).alias("y")))
     ids = both.groupBy("id").agg(F.max("y").alias("p"), F.min("y").alias("q"))  # at most positives + unlabelled rows
     joined = texts.join(F.broadcast(Stored(ids, "drawn").df), "id")
+    joined = joined.groupBy("id", "p", "q").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = feature_rows(joined, "id", "text", ["p", "q", "id"]).collect()
     rows = sorted(rows, key=lambda r: (r.id, len(r.features)))
     read = lambda chosen: Rows.of([np.frombuffer(r.features, np.int32) for r in chosen])
@@ -88,7 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
 
-    Null texts are scored as empty ones; a null id is not held out; other columns are not carried.
+    Null texts are scored as empty ones, and texts of any length whole; a null id is not held out; repeated rows
+    each get their row, equal texts the same score; no rows give none; other columns are not carried.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,7 +107,11 @@ def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text: str =
 
 
 def drop_toxic(docs: DataFrame, model: Linear, text: str = "text") -> DataFrame:
-    """The rows whose score is below 0.5, all columns in place."""
+    """The rows whose score is below 0.5, all columns in place.
+
+    Null and empty texts have the score of no words; a score of just 0.5 goes; repeated rows go or stay
+    together; no rows give none.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([model.probability(t) < 0.5 for t in texts_of(batch, text)], pa.bool_()))

@@ -83,10 +83,64 @@ def test_label_model_recovers_known_accuracies():
         truth[p, good] += 1
     posterior, accuracy, share = quality.expectation_maximisation(patterns)
     right = sum(k for (p, good), k in truth.items() if (posterior[p] >= 0.5) == good)
-    assert right > 0.88 * 20000 and 0.7 < share < 0.9 and len(accuracy) == n
+    assert right > 0.88 * 20000 and 0.7 < share < 0.9 and accuracy.shape == (n + 1, n)
+    assert np.allclose(accuracy[0], 0.99, atol=0.02) and all(accuracy[1 + i, i] > 0.8 for i in range(3))
     assert quality.expectation_maximisation({})[0] == {}
 
 
+def test_scores_equal_their_definition(spark):
+    """Adam on the plain risk, row by row, and scores from word sets, against the operator."""
+    import zlib
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["the", "Of", "x!!", "|", "WORD", "end."], 12)) for _ in range(30)]
+    rows = quality.seen_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts, strict=True):
+        both = quality.joined(bytes(r.found), bytes(r.words))
+        words = {zlib.crc32(f"word:{w.lower()}".encode()) % quality.WORDS for w in t.split()}
+        assert set(both["place"][both["place"] >= quality.SIZE] - quality.SIZE) == words
+        assert np.allclose(both["value"][both["place"] >= quality.SIZE], len(words) ** -0.5)
+    x = [quality.joined(bytes(r.found), bytes(r.words)) for r in rows]
+    target = rng.random(30)
+    model = quality.fit(x, target)
+    share = target.mean()
+    dense = np.zeros((30, quality.SIZE + quality.WORDS))
+    for row, f in zip(dense, x, strict=True):
+        np.add.at(row, f["place"], f["value"].astype(float))
+    weight = (target / share + (1 - target) / (1 - share)) / 60
+
+    def risk_gradient(w):
+        error = weight * (1 / (1 + np.exp(-(dense @ w[:-1] + w[-1]))) - target)
+        return np.append(dense.T @ error + quality.DECAY * w[:-1], error.sum())
+
+    w, m, v = np.zeros(dense.shape[1] + 1), 0.0, 0.0
+    for t in range(1, quality.STEPS + 1):
+        g = risk_gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - quality.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(model.weights, w[:-1], atol=1e-5) and np.isclose(model.intercept, w[-1], atol=1e-5)
+    assert np.allclose([model.probability(f) for f in x], 1 / (1 + np.exp(-(dense @ w[:-1] + w[-1]))), atol=1e-5)
+
+
+def test_non_negative_risk_equals_its_definition():
+    """One gradient of the estimator against finite differences of the written-out risk."""
+    rng = np.random.default_rng(6)
+    lists = [rng.choice(40, 8, replace=False).tolist() for _ in range(30)]
+    positive, unlabelled, prior = Rows.of(lists[:10]), Rows.of(lists[10:]), 0.3
+    w, b = rng.standard_normal(SIZE) * 0.1, 0.2
+    loss = lambda z: np.logaddexp(0, -z)
+    zp, zu = positive.score(w) + b, unlabelled.score(w) + b
+    negative = loss(-zu).mean() - prior * loss(-zp).mean()
+    value, gradient = toxicity.risk(positive, unlabelled, prior, w, b)
+    assert np.isclose(value, prior * loss(zp).mean() + max(0.0, negative))
+    assert negative >= 0
+    for place in (lists[0][0], lists[20][3]):
+        step = np.zeros(SIZE)
+        step[place] = 1e-5
+        up, down = (toxicity.risk(positive, unlabelled, prior, w + k * step, b)[0] for k in (1, -1))
+        assert np.isclose(gradient[place], (up - down) / 2e-5, atol=1e-6)
+
+
 def test_quality_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").withColumnRenamed("quality", "truth")
     found = quality.score(docs).join(labels, "doc_id").collect()
