@@ -66,3 +66,33 @@ def test_rows(spark):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "q w e"), (1, "q w e"), (None, "q w e"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.simhash_components(twice).collect()) == [(-1, -1), (-1, 1), (1, 1), (1, 1)]
+
+
+def test_near_copies_are_found_by_similarity_alone(spark):
+    """Recall against the shingle sets, without any fingerprint rule; what is unlike stays."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    texts, alike = [], 0
+    for _ in range(200):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(120, 400))]
+        edited = list(w)
+        for at in rng.sample(range(len(w)), max(1, len(w) * rng.randint(2, 20) // 1000)):
+            edited[at] = rng.choice(vocabulary)
+        x, y = (set(simhash.shingle_set(" ".join(v), 5).tolist()) for v in (w, edited))
+        if len(x & y) >= 0.8 * len(x | y):
+            alike += 1
+            texts += [" ".join(w), " ".join(edited)]
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(9000 + i, " ".join(rng.sample(t.split(" "), 100)), 0) for i, t in enumerate(texts[::2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    found = sum(i not in ids for i in range(1, len(texts), 2))
+    print(f"recall of pairs with shingle similarity 0.8 or more: {found / alike:.3f} of {alike}")
+    assert found >= 0.9 * alike and all(i in ids for i in range(0, len(texts), 2)) and all(9000 + i in ids for i in range(alike))
+
+
+def test_near_copies_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a b"), (None, "a b"), (3, "a b"), (4, "A b"), (5, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in simhash.drop_near_copies(docs).collect()) == [0, 0, 1, 3]
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
