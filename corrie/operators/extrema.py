@@ -1,18 +1,18 @@
 """Local minima and maxima of Chebyshev boxes, by one window pass along each axis.
 
 The least energy of a box is the least along the last axis of the least along the one before, and so on,
-so the cost does not depend on the range. Every cell of the shape must be there, masked or not: a missing
-row would let a window reach past it.
+so the cost does not depend on the range. Windows go by the index along the axis, so a cell without a row counts as
+masked on the axis of a pass, and a grid should have all its rows, masked or not, for boxes around corners.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrie.functions.index import inside, zero_sign
+from corrie.functions.index import zero_sign
 from corrie.meta import Grid, check_ranges
 
 
@@ -22,19 +22,16 @@ def boxed(grid: Grid, r: int, kinds: tuple[str, ...]) -> DataFrame:
     for kind in kinds:
         df = df.withColumn(kind, F.col("e"))
     for axis in grid.meta.indices:
-        box = Window.partitionBy(*(c for c in grid.meta.indices if c != axis)).orderBy(axis).rowsBetween(-r, r)
+        box = Window.partitionBy(*(c for c in grid.meta.indices if c != axis)).orderBy(axis).rangeBetween(-r, r)
         df = df.select("lin", *grid.meta.indices, "e", F.sum("n").over(box).alias("n"), *(getattr(F, k)(k).over(box).alias(k) for k in kinds))
     return df
 
 
-def confirmed(grid: Grid, found: DataFrame, wide: int) -> DataFrame:
-    """Candidates that also hold in the wider box: only they are compared with its cells."""
-    steps = F.array(*(F.array(*map(F.lit, s)) for s in product(range(-wide, wide + 1), repeat=grid.meta.ndim) if any(s)))
-    reach = found.select("*", F.explode(steps).alias("step")).where(inside(grid.meta, "step"))
-    jump = sum((F.col("step")[k] * s for k, s in enumerate(grid.meta.strides)), F.lit(0))
-    near = grid.cells.where("e is not null").select(F.col("lin").alias("other"), F.col("e").alias("oe"))
-    beaten = reach.withColumn("other", F.col("lin") + jump).join(near, "other").where(((F.col("kind") == "min") & (F.col("oe") < F.col("e"))) | ((F.col("kind") == "max") & (F.col("oe") > F.col("e"))))
-    return found.join(beaten.select("lin", "kind").distinct(), ["lin", "kind"], "left_anti")
+def confirmed(grid: Grid, found: DataFrame, wide: int, kinds: tuple[str, ...]) -> DataFrame:
+    """Candidates that also hold in the wider box: the same passes at that range, whatever the number of axes."""
+    far = boxed(grid, wide, kinds).select("lin", *kinds)
+    holds = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("e") == F.col(k)) for k in kinds])
+    return found.join(far, "lin").where(holds).drop(*kinds)
 
 
 def extrema(grid: Grid, kinds: tuple[str, ...], neighborhood_range: int = 1, confirm_range: int | None = None) -> DataFrame:
@@ -44,7 +41,7 @@ def extrema(grid: Grid, kinds: tuple[str, ...], neighborhood_range: int = 1, con
     df = boxed(grid, r, kinds).where("e is not null and n > 1")
     found = [df.where(F.col("e") == F.col(k)).select(F.lit(k).alias("kind"), "lin", *grid.meta.indices, "e") for k in kinds]
     out = found[0] if len(found) == 1 else df.select("lin", *grid.meta.indices, "e", F.explode(F.array_compact(F.array(*(F.when(F.col("e") == F.col(k), F.lit(k)) for k in kinds)))).alias("kind")).select("kind", "lin", *grid.meta.indices, "e")
-    out = confirmed(grid, out, wide) if wide > r else out
+    out = confirmed(grid, out, wide, kinds) if wide > r else out
     return out.select("kind", "lin", *grid.meta.indices, F.col("e").cast("double").alias("e"))
 
 

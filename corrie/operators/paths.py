@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,36 +11,62 @@ from corrie.meta import Grid, check_neighbourhood, check_points
 from corrie.operators.flood import Watershed
 
 
-@dataclass
-class Forest:
-    """Merges as a forest: basins are leaves 0 to B-1, merge k is node B+k above the two it joins."""
-
-    n_basins: int
-    merges: list
-    parent: dict[int, int] = field(default_factory=dict)
+class Line:
+    """Basins in a row in which everything a merge has joined stands together.
 
-    def __post_init__(self):
-        node = {b: b for b in range(self.n_basins)}
-        for k, m in enumerate(self.merges):
-            for b in (m.deeper, m.shallower):
-                self.parent[node[b]] = self.n_basins + k
-            node[m.deeper] = self.n_basins + k
-
-    def lowest_common(self, a: int, b: int) -> int | None:
-        """Nodes only lead to larger ones, so the smaller of the two is lifted."""
-        while a != b:
-            low = min(a, b)
-            up = self.parent.get(low)
-            if up is None:
-                return None
-            a, b = (up, b) if low == a else (a, up)
-        return a
+    A merge puts the row of the shallower basin behind that of the deeper one, and the gap between the two
+    holds the merge. The first merge that connects two basins is then the latest in the gaps between them, and
+    which side of it a basin is on shows in its place. Gaps that no merge closed hold ``NEVER``.
+    """
 
-    def below(self, node: int, top: int) -> int:
-        """The child of ``top`` that is ``node`` or above it."""
-        while self.parent[node] != top:
-            node = self.parent[node]
-        return node
+    NEVER = 2**62
+
+    def __init__(self, n_basins: int, merges: list):
+        self.merges = merges
+        after, gap = np.full(n_basins, -1), np.full(n_basins, self.NEVER)
+        last, heads = np.arange(n_basins), np.ones(n_basins, bool)
+        for k, m in enumerate(merges):
+            end = last[m.deeper]
+            after[end], gap[end], heads[m.shallower] = m.shallower, k, False
+            last[m.deeper] = last[m.shallower]
+        self.place, self.gaps = np.zeros(n_basins, int), np.full(n_basins, self.NEVER)
+        at = 0
+        for head in np.flatnonzero(heads):
+            while head >= 0:
+                self.place[head], self.gaps[at] = at, gap[head]
+                head, at = after[head], at + 1
+
+    def widest(self, a: int, b: int) -> int:
+        """The place of the gap with the latest merge between two different basins."""
+        low, high = sorted((self.place[a], self.place[b]))
+        return low + int(np.argmax(self.gaps[low:high]))
+
+    def joining(self, a: int, b: int):
+        """The merge that first connects two different basins, or None."""
+        k = self.gaps[self.widest(a, b)]
+        return None if k == self.NEVER else self.merges[k]
+
+    def legs(self, a: int, leaf_a: int, b: int, leaf_b: int) -> list[tuple[int, int, int]] | None:
+        """``(from, to, leaf)``: pieces of the way from cell a to cell b inside one basin each, in order.
+
+        In rounds, every piece between two basins is cut at the merge that connects them.
+        """
+        pieces = [(a, leaf_a, b, leaf_b)]
+        while any(la != lb for _, la, _, lb in pieces):
+            cut = []
+            for x, lx, y, ly in pieces:
+                if lx == ly:
+                    cut.append((x, lx, y, ly))
+                    continue
+                at = self.widest(lx, ly)
+                if self.gaps[at] == self.NEVER:
+                    return None
+                m = self.merges[self.gaps[at]]
+                banks = {bool(self.place[leaf] <= at): (cell, leaf) for cell, leaf in ((m.saddle, m.leaf_saddle), (m.other, m.leaf_other))}
+                here = bool(self.place[lx] <= at)
+                cut += [(x, lx, *banks[here]), (*banks[not here], y, ly)]
+            pieces = cut
+        return [(x, y, leaf) for x, leaf, y, _ in pieces]
 
 
 def end_points(tree: Watershed, start, end) -> tuple[list[int], dict[int, tuple[float, int, int]]]:
@@ -71,10 +96,9 @@ def find_iwf_grid(grid: Grid, start, end, neighborhood: str = "von_neumann", *,
     if a != b:
         leaf = leaves(tree, [a, b])
         if leaf[a] != leaf[b]:
-            top = Forest(tree.basins.count(), tree.merge_list).lowest_common(leaf[a], leaf[b])
-            if top is None:
+            m = Line(tree.basins.count(), tree.merge_list).joining(leaf[a], leaf[b])
+            if m is None:
                 return None
-            m = tree.merge_list[top - tree.basins.count()]
             best = max(best, (m.e, m.nz, m.saddle))
     return grid.meta.index(best[2]), best[0]
 
@@ -93,25 +117,6 @@ def check_tree(grid: Grid, tree: Watershed, neighborhood: str | None) -> None:
         raise ValueError("the tree is of a different energy grid")
 
 
-def segments(forest: Forest, leaf_a: int, leaf_b: int, a: int, b: int) -> list[tuple[int, int, int]] | None:
-    """``(from, to, leaf)``: pieces of the path inside one leaf each, in order."""
-    todo, done = [(a, leaf_a, b, leaf_b)], []
-    while todo:
-        x, lx, y, ly = todo.pop()
-        if lx == ly:
-            done.append((x, y, lx))
-            continue
-        top = forest.lowest_common(lx, ly)
-        if top is None:
-            return None
-        m = forest.merges[top - forest.n_basins]
-        u, v = (m.saddle, m.leaf_saddle), (m.other, m.leaf_other)
-        if forest.below(u[1], top) != forest.below(lx, top):
-            u, v = v, u
-        todo += [(*v, y, ly), (x, lx, *u)]
-    return done
-
-
 def chains(tree: Watershed, cells: list[int]) -> DataFrame:
     """``(origin, at, distance)``: every cell on the parent chains of the given cells, by doubling."""
     spark = tree.grid.cells.sparkSession
@@ -135,7 +140,7 @@ def path_table(tree: Watershed, start, end) -> DataFrame | None:
         parts = spark.createDataFrame([(0, a)], "step long, lin long")
     else:
         leaf = leaves(tree, [a, b])
-        found = segments(Forest(tree.basins.count(), tree.merge_list), leaf[a], leaf[b], a, b)
+        found = Line(tree.basins.count(), tree.merge_list).legs(a, leaf[a], b, leaf[b])
         if found is None:
             return None
         walked = chains(tree, [c for x, y, _ in found for c in (x, y)])

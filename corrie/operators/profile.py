@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -51,17 +52,32 @@ def turning_points(energies: list[float]) -> list[tuple[str, int, float]]:
 def cancelled(points: list[tuple[str, int, float]], least: float) -> list[tuple[str, int, float]]:
     """Drop neighbours in pairs, the closest in energy first, until none is closer than ``least``.
 
-    The lowest minimum (the first of equal ones) is never dropped, and two points always stay.
+    The lowest minimum (the first of equal ones) is never dropped, and two points always stay. Gaps wait in a
+    heap, and points know their neighbours, so a drop costs the logarithm of the path's length.
     """
-    points = list(points)
-    while len(points) > 2:
-        minima = [i for i, p in enumerate(points) if p[0] == "min"]
-        lowest = min(minima, key=lambda i: points[i][2]) if minima else -1
-        gaps = [(abs(points[i + 1][2] - points[i][2]), i) for i in range(len(points) - 1) if lowest not in (i, i + 1)]
-        if not gaps or (closest := min(gaps))[0] >= least:
+    n = len(points)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    keep = min((p[2], i) for i, p in enumerate(points) if p[0] == "min")[1] if any(p[0] == "min" for p in points) else -1
+    stays, left = [True] * n, n
+    gap = lambda i, j: (abs(points[j][2] - points[i][2]), i, j)
+    waiting = [gap(i, i + 1) for i in range(n - 1) if keep not in (i, i + 1)]
+    heapq.heapify(waiting)
+    while left > 2 and waiting:
+        size, i, j = heapq.heappop(waiting)
+        if size >= least:
             break
-        del points[closest[1] : closest[1] + 2]
-    return points
+        if not (stays[i] and stays[j] and after[i] == j):
+            continue
+        stays[i] = stays[j] = False
+        left -= 2
+        low, high = before[i], after[j]
+        if low >= 0:
+            after[low] = high
+        if high < n:
+            before[high] = low
+            if low >= 0 and keep not in (low, high):
+                heapq.heappush(waiting, gap(low, high))
+    return [p for p, stay in zip(points, stays, strict=True) if stay]
 
 
 def analyze_path_profile(path_energies, min_persistence: float = 0.0) -> PathProfile:

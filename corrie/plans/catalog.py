@@ -110,8 +110,7 @@ def tree_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = shed(spark, sf_dir)
-    f = paths.Forest(w.basins.count(), w.merge_list)
-    return spark.createDataFrame(sorted(f.parent.items()), "node long, parent long")
+    return tree.merge_forest(w.basins, w.merges)
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:

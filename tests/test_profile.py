@@ -25,6 +25,29 @@ def test_plateau_and_lowest_minimum():
             profile.analyze_path_profile(bad)
 
 
+def plain(points, least):
+    """Cancellation from its definition, looking at all gaps each time."""
+    points = list(points)
+    lowest = min((p for p in points if p[0] == "min"), key=lambda p: (p[2], p[1]), default=None)
+    while len(points) > 2:
+        pairs = [(abs(a[2] - b[2]), i) for i, (a, b) in enumerate(zip(points, points[1:])) if lowest not in (a, b)]
+        if not pairs or min(pairs)[0] >= least:
+            return points
+        at = min(pairs)[1]
+        points = points[:at] + points[at + 2 :]
+    return points
+
+
+def test_cancellation_equals_its_definition():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        points = profile.turning_points([float(rng.randint(0, 6)) for _ in range(rng.randint(1, 40))])
+        for least in (0.5, 1.5, 3.5, 10.0):
+            assert profile.cancelled(points, least) == plain(points, least)
+
+
 def test_tables_equal_the_driver(spark):
     import random
 
