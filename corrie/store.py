@@ -30,11 +30,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only in local mode, where one machine does it all, a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get()
     return configured.rstrip("/")
