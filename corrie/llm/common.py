@@ -134,17 +134,16 @@ def across(shared: DataFrame, fits) -> DataFrame:
     return found.select(x["n"].alias("a"), y["n"].alias("b")).distinct()
 
 
-def joined_groups(entries: DataFrame, nodes: DataFrame, fits, verify, stars: int = 2) -> DataFrame:
+def joined_groups(shared: Stored, nodes: DataFrame, fits, verify, stars: int = 2) -> DataFrame:
     """``(node, component)``: groups linked by all verified pairs of nodes that share a key; single nodes are left out.
 
-    ``entries`` holds ``(key, n)``, each once; ``nodes`` holds ``n`` and what ``fits(a, b)``, a cheap condition
-    that every link meets, needs. ``verify`` takes a table of pairs ``(a, b)`` and returns those that are
+    ``shared`` holds ``met`` entries with the columns of ``nodes``, each entry once, and is deleted in the end;
+    ``nodes`` holds ``n`` and what ``fits(a, b)``, a cheap condition that every link meets, needs. ``verify`` takes a table of pairs ``(a, b)`` and returns those that are
     links. First, each node meets one node of each of its keys, the least; in the next star round, one that
     is in another group by then. Those pairs grow with the entries only, and they join the crowds of copies.
     Then all pairs under a key whose nodes are in different groups are verified. Pairs inside a group are
     not, since a link would change nothing: the groups are those of all links, whatever the sizes.
     """
-    shared = Stored(met(entries).join(nodes, "n"), "shared")
     linked: list[Stored] = []
     groups: Stored | None = None
     for round_ in range(stars + 1):

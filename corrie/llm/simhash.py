@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrie.llm.common import Stored, components, id_type, joined_groups, map_arrow, texts_of
+from corrie.llm.common import Stored, components, id_type, joined_groups, map_arrow, met, texts_of
 
 SEED = 42
 BITS = 64
@@ -162,7 +162,7 @@ def near_groups(classes: DataFrame, texts: DataFrame, size: int, similarity: flo
             pairs = pairs.join(told, side)
         return map_arrow(pairs, ["a", "b", "ta", "tb"], check, "a long, b long", 32)
 
-    return joined_groups(entries, nodes, fits, verify)
+    return joined_groups(Stored(met(entries).join(nodes, "n"), "shared"), nodes, fits, verify)
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
