@@ -59,6 +59,14 @@ def feature_rows(docs: DataFrame, id_column: str, text: str, keep: list[str]) ->
     return map_arrow(docs, [*keep, text], make, f"{fields}, features binary")
 
 
+def frequency(lists) -> np.ndarray:
+    """In how many of the lists each feature is."""
+    found = np.zeros(SIZE)
+    for x in lists:
+        found[np.unique(x)] += 1
+    return found
+
+
 @dataclass
 class Rows:
     """Feature rows as one index array, with the values that make each row's length 1 over its features."""
@@ -69,19 +77,18 @@ class Rows:
     n: int
 
     @staticmethod
-    def of(lists: list) -> Rows:
-        sizes = np.array([len(x) for x in lists], np.int64)
-        row = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
-        index = np.concatenate([np.asarray(x, np.int32) for x in lists]) if len(lists) else np.zeros(0, np.int32)
-        return Rows(index, row, (1 / length(sizes).astype(np.float32))[row], len(lists))
+    def of(lists: list, chosen: np.ndarray | None = None) -> Rows:
+        """Rows of feature lists, of which only the chosen features are held; lengths are those of whole lists."""
+        value = 1 / length(np.array([len(x) for x in lists], np.int64)).astype(np.float32)
+        held = [x if chosen is None else x[chosen[x]] for x in (np.asarray(x, np.int32) for x in lists)]
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in held])
+        index = np.concatenate(held) if held else np.zeros(0, np.int32)
+        return Rows(index, row, value[row], len(lists))
 
     def frequency(self) -> np.ndarray:
         """In how many rows each feature is."""
-        found = np.zeros(SIZE)
         borders = np.searchsorted(self.row, np.arange(self.n + 1))
-        for a, b in zip(borders, borders[1:]):
-            found[np.unique(self.index[a:b])] += 1
-        return found
+        return frequency(self.index[a:b] for a, b in zip(borders, borders[1:]))
 
     def only(self, chosen: np.ndarray) -> Rows:
         """The same rows with the chosen features alone."""

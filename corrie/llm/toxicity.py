@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrie.llm.common import Stored, id_type, map_arrow, texts_of
-from corrie.llm.features import SIZE, Linear, Rows, adam, drawn, feature_rows
+from corrie.llm.features import SIZE, Linear, Rows, adam, drawn, feature_rows, frequency
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 3000, 6000
@@ -30,10 +30,10 @@ def held_out(id_column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
 
 
-def distinctive(positive: Rows, unlabelled: Rows) -> np.ndarray:
+def distinctive(has: np.ndarray, positives: int, rest: np.ndarray, unlabelled: int) -> np.ndarray:
     """Which features' log odds differ between the two samples by ``LEAST_Z`` standard errors; only these get weights."""
-    has, rest = positive.frequency() + 0.5, unlabelled.frequency() + 0.5
-    odds = np.log(has / (positive.n - has + 1)) - np.log(rest / (unlabelled.n - rest + 1))
+    has, rest = has + 0.5, rest + 0.5
+    odds = np.log(has / (positives - has + 1)) - np.log(rest / (unlabelled - rest + 1))
     return np.abs(odds) / np.sqrt(1 / has + 1 / rest) >= LEAST_Z
 
 
@@ -41,7 +41,7 @@ def learn(positive: Rows, unlabelled: Rows, prior: float) -> Linear:
     """Fit by the non-negative estimator; without positives every text has the prior."""
     if not positive.n or not unlabelled.n:
         return Linear(np.zeros(SIZE), float(np.log(prior / (1 - prior))))
-    telling = distinctive(positive, unlabelled)
+    telling = distinctive(positive.frequency(), positive.n, unlabelled.frequency(), unlabelled.n)
     positive, unlabelled = positive.only(telling), unlabelled.only(telling)
 
     def gradient(x: np.ndarray) -> np.ndarray:
@@ -85,10 +85,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     ids = both.groupBy("id").agg(F.max("y").alias("p"), F.min("y").alias("q"))  # at most positives + unlabelled rows
     joined = texts.join(F.broadcast(Stored(ids, "drawn").df), "id")
     joined = joined.groupBy("id", "p", "q").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = feature_rows(joined, "id", "text", ["p", "q", "id"]).collect()
-    rows = sorted(rows, key=lambda r: (r.id, len(r.features)))
-    read = lambda chosen: Rows.of([np.frombuffer(r.features, np.int32) for r in chosen])
-    return learn(read([r for r in rows if r.p == 1]), read([r for r in rows if r.q == 0]), prior)
+    rows = Stored(feature_rows(joined, "id", "text", ["p", "q", "id"]), "features")
+    # One part after the other: the driver holds the packed features once, and then only those that tell.
+    lists = sorted(((r.id, len(r.features), r.p, r.q, np.frombuffer(r.features, np.int32)) for r in rows.df.toLocalIterator()), key=lambda x: x[:2])
+    rows.drop()
+    positive, rest = [x[4] for x in lists if x[2] == 1], [x[4] for x in lists if x[3] == 0]
+    telling = distinctive(frequency(positive), len(positive), frequency(rest), len(rest))
+    return learn(Rows.of(positive, telling), Rows.of(rest, telling), prior)
 
 
 def score(docs: DataFrame, model: Linear, id_column: str = "doc_id", text: str = "text") -> DataFrame:
