@@ -8,7 +8,8 @@ Kinds. The base ones are those of these patterns, leftmost and non-overlapping p
 dropped without a retry: ``email`` ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ``ip`` four
 dotted numbers, each at most 255; ``card`` 14 to 19 digits with single spaces or hyphens, passing Luhn;
 ``phone`` a plus sign and 10 to 15 digits. Added ones are ``url`` (scheme to the end of the address) and
-``account`` (an identifier of 6 to 34 letters and digits, at least 4 of them digits, after a cue).
+``account`` (after a cue: an IBAN that passes mod 97, or an identifier of 6 to 34 letters and digits, at least 4 of
+them digits, that is no date).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,12 @@ KINDS = (*BASE, "url", "account")
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("iban", "account number", "account no", "account", "acct", "ssn", "passport", "customer id", "kontonummer")
 
+#: Words that may stand between a cue and its identifier.
+FILLERS = ("number", "nummer", "no", "nr", "id", "code")
+DATE = regex.compile(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}")
+#: ASCII capitals to small letters: cues and schemes are found in any casing, and places stay the same.
+LOWER = {ord(c): ord(c.lower()) for c in string.ascii_uppercase}
+
 DIGITS = frozenset(string.digits)
 ALNUM = frozenset(string.ascii_letters + string.digits)
 LOCAL = ALNUM | set("._%+-")
@@ -46,8 +54,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(mark, (kind, 1))
     for words, kind in ((SCHEMES, "scheme"), (CUES, "cue")):
         for w in words:
-            for x in (w, w.upper(), w.capitalize()):
-                found.add_word(x, (kind, len(x)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
@@ -126,23 +133,47 @@ def address(text: str, start: int, body: int) -> int | None:
     return end if end > body else None
 
 
-def identifier(text: str, at: int) -> tuple[int, int] | None:
-    """The account identifier that a cue ending at ``at`` names: past at most four separators."""
-    start = at
-    while start < len(text) and start < at + 4 and text[start] in " :#=.-":
-        start += 1
-    if start == at:
+def past(text: str, at: int) -> int:
+    """The place after at most four separators."""
+    end = at
+    while end < len(text) and end < at + 4 and text[end] in " :#=.-":
+        end += 1
+    return end
+
+
+def mod97(account: str) -> bool:
+    """The check of an international bank account number: two letters, two digits, up to 30 more of either."""
+    account = account.upper()
+    if not (15 <= len(account) <= 34 and account[:2].isalpha() and account[2:4].isdigit()):
+        return False
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def identifier(text: str, low: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The account identifier that a cue ending at ``at`` names: past separators and a word such as "number".
+
+    After an IBAN cue, groups of letters and digits with single spaces, as many as pass mod 97. Otherwise one
+    run that has a digit, and digit groups joined to it by single spaces or hyphens; dates are refused.
+    """
+    start = past(text, at)
+    for word in FILLERS:
+        if low.startswith(word, start) and text[start + len(word) : start + len(word) + 1] not in ALNUM:
+            start = past(text, start + len(word))
+            break
+    if start == at or start >= len(text) or text[start] not in ALNUM:
         return None
-    end = last = start
-    while end < len(text) and last - start < 43:
-        if text[end] in ALNUM:
-            end = last = end + 1
-        elif text[end] in " -" and end > start and end + 1 < len(text) and text[end + 1] in DIGITS and text[end - 1] in ALNUM:
-            end += 1
-        else:
+    ends = [run(text, start, ALNUM)]
+    while ends[-1] - start < 43 and ends[-1] + 1 < len(text) and text[ends[-1]] in " -" and text[ends[-1] + 1] in ALNUM:
+        if cue != "iban" and text[ends[-1] + 1] not in DIGITS:
             break
-    body = [c for c in text[start:last] if c in ALNUM]
-    return (start, last) if 6 <= len(body) <= 34 and sum(c in DIGITS for c in body) >= 4 else None
+        ends.append(run(text, ends[-1] + 1, ALNUM))
+    body = lambda end: "".join(c for c in text[start:end] if c in ALNUM) if end - start <= 64 else ""
+    if cue == "iban":
+        return next(((start, end) for end in reversed(ends) if mod97(body(end))), None)
+    said = body(ends[-1])
+    if DIGITS.isdisjoint(text[start : ends[0]][:64]) or DATE.fullmatch(text, start, ends[-1]):
+        return None
+    return (start, ends[-1]) if 6 <= len(said) <= 34 and sum(c in DIGITS for c in said) >= 4 else None
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -150,8 +181,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     #: Where the next match of each kind may begin; the digit run that the ip parser has been through.
     mail = ip = card = phone = url = account = runs = 0
-    n = len(text)
-    for last, (anchor, size) in automaton().iter(text):
+    n, low = len(text), text.translate(LOWER)
+    for last, (anchor, size) in automaton().iter(low):
         at = last + 1 - size
         if anchor == "digit":
             if at >= card:
@@ -179,7 +210,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if at >= url and (at == 0 or text[at - 1] not in ALNUM) and (end := address(text, at, at + size)):
                 url = end
                 found.append((at, end, "url"))
-        elif (at == 0 or text[at - 1] not in ALNUM) and (hit := identifier(text, at + size)) and hit[0] >= account:
+        elif (at == 0 or text[at - 1] not in ALNUM) and (hit := identifier(text, low, at + size, low[at : at + size])) and hit[0] >= account:
             account = hit[1]
             found.append((*hit, "account"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))

@@ -158,3 +158,22 @@ def test_sniffing_corrects_and_carves(spark):
     assert found[2].media_type is None and not found[2].corrected and found[2].embedded == []
     assert found[3].media_type == "image/png" and found[3].corrected
     assert media.store_texts(rows(spark, ["hi"])).first().n_bytes == 2
+
+
+def test_account_boundaries():
+    found = lambda t: [t[a:b] for a, b, k in pii.spans(t) if k == "account"]
+    for t, want in (
+        ("account number 12345678", ["12345678"]),
+        ("account no 1234567", ["1234567"]),
+        ("my account has 12345 points", []),
+        ("account 2024-05-01", []),
+        ("Account Number: 12345678", ["12345678"]),
+        ("Customer ID: AB123456", ["AB123456"]),
+        ("passport number X1234567 ok", ["X1234567"]),
+        ("IBAN GB29 NWBK 6016 1331 9268 19 thanks", ["GB29 NWBK 6016 1331 9268 19"]),
+        ("iban DE00 0000 0000 0000 0000 00", []),
+        ("iban", []),
+        ("account ", []),
+        ("account " + "1" * 100_000, []),
+    ):
+        assert found(t) == want, t
