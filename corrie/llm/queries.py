@@ -62,7 +62,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality)}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op5, which SQL can express."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express; the checksum is that of the bytes read back."""
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, pii_base, media_payload)}
+
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+LUHN = "list_sum(list_transform(range(len(d)), lambda i: (case when i % 2 = 0 then ascii(d[len(d) - i]) - 48 else (ascii(d[len(d) - i]) - 48) * 2 - (case when ascii(d[len(d) - i]) > 52 then 9 else 0 end) end))) % 10 = 0"
 
 #: DuckDB SQL for those queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "pii_base": "with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), "
+    r"ip as (select r, unnest(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) as x from t), "
+    r"card as (select r, " + DIGITS + r" as d from (select r, unnest(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+')) as x from t)), "
+    r"phone as (select r, " + DIGITS + r" as d from (select r, unnest(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]')) as x from t)), "
+    "found as (select r, 1 as ip, 0 as card, 0 as phone from ip where len(list_filter(string_split(x, '.'), lambda y: coalesce(try_cast(y as hugeint), 256) > 255)) = 0 "
+    "union all select r, 0, 1, 0 from card where len(d) between 14 and 19 and " + LUHN + " union all select r, 0, 0, 1 from phone where len(d) between 10 and 15), "
+    "n as (select r, sum(ip) as ip, sum(card) as card, sum(phone) as phone from found group by r) "
+    r"select t.doc_id, len(regexp_extract_all(t.text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::bigint as n_email, coalesce(n.ip, 0)::bigint as n_ip, coalesce(n.card, 0)::bigint as n_card, coalesce(n.phone, 0)::bigint as n_phone from t left join n on n.r = t.r",
+    "media_payload": "with t as (select doc_id, encode(coalesce(text, '')) as b from documents), s as (select *, octet_length(b)::bigint as n, greatest(1, (octet_length(b) + 575) // 576)::bigint * 576 as m from t) "
+    "select doc_id, n as n_bytes, m as payload_bytes, sha256(b || unhex(repeat('FF', (m - n)::int))) as payload_sha256 from s",
+}
