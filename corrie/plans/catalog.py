@@ -25,6 +25,8 @@ SHAPES = {2: (50, 11), 3: (50, 11, 9), 5: (7, 11, 9, 3, 2)}
 AXES = {2: G2, 3: G3, 5: G5}
 VALID = "l_returnflag = 'R' and l_linestatus = 'F'"
 START, END, THRESHOLD = (0, 0), (49, 10), 5.0
+#: A cell on the same side of the wall of `walled` as START.
+NEAR = (20, 9)
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +69,17 @@ def shed(spark: SparkSession, sf_dir: str, name: str = "von_neumann") -> flood.W
     return flood.Watershed(grid(2)(spark, sf_dir), name)
 
 
-def saddle(spark: SparkSession, sf_dir: str, name: str, make=grid(2)) -> DataFrame:
+def saddle(spark: SparkSession, sf_dir: str, name: str, make=grid(2), end=None) -> DataFrame:
     g = make(spark, sf_dir)
-    found = paths.find_iwf_grid(g, START, END, name)
+    found = paths.find_iwf_grid(g, START, end or END, name)
     return spark.createDataFrame([] if found is None else [(g.meta.linear(found[0]), found[1])], "lin long, e double")
 
 
+def walled_saddles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a pair of cells across the wall, which has no saddle, and of one on this side."""
+    return saddle(spark, sf_dir, "von_neumann", walled).unionByName(saddle(spark, sf_dir, "von_neumann", walled, NEAR))
+
+
 def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.path_table(shed(spark, sf_dir), START, END)
 
@@ -117,8 +124,12 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state with wrong labels, parents and merges and a merge told twice: these are found and nothing else is."""
     w = shed(spark, sf_dir)
-    return flood.flood_violations(w.grid, w.labels_table, w.basins, w.merges)
+    label = F.when(F.col("lin") % 7 == 0, F.lit(1_000_000)).otherwise(F.col("label"))
+    parent = F.when((F.col("parent") != flood.NO_PARENT) & (F.col("lin") % 11 == 0), F.lit(40_000)).otherwise(F.col("parent"))
+    bad = w.merges.withColumn("deeper", F.when(F.col("merge_id") % 5 == 0, F.col("shallower")).otherwise(F.col("deeper")))
+    return flood.flood_violations(w.grid, w.labels_table.withColumns({"label": label, "parent": parent}), w.basins, bad.unionByName(bad.where("merge_id = 2")))
 
 
 def found(make, kinds: tuple[str, ...], **ranges) -> Callable[[SparkSession, str], DataFrame]:
@@ -157,7 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flood_state_violations": violations,
     "iwf_saddle_vn": lambda s, d: saddle(s, d, "von_neumann"),
     "iwf_saddle_moore": lambda s, d: saddle(s, d, "moore"),
-    "iwf_disconnected": lambda s, d: saddle(s, d, "von_neumann", walled),
+    "iwf_disconnected": walled_saddles,
     "mep_path": path,
     "mep_summary": path_summary,
     "persistence": with_tree(tree.persistence),
@@ -228,9 +239,9 @@ def sql_merges(name: str, where: str = "true") -> str:
     )
 
 
-def sql_saddle(name: str, where: str = "true") -> str:
+def sql_saddle(name: str, where: str = "true", end=None) -> str:
     meta = GridMeta(tuple(G2), SHAPES[2])
-    a, b = meta.linear(START), meta.linear(END)
+    a, b = meta.linear(START), meta.linear(end or END)
     return (
         f"{sql_merges(name, where)}, ends2 as (select a.leaf as la, b.leaf as lb from leafs a, leafs b where a.lin = {a} and b.lin = {b}), "
         "pass as (select f.lin, f.e from ends2 t join bott o on o.x = t.la and o.y = t.lb join first f on f.k = o.k), "
@@ -276,10 +287,11 @@ ORACLES: dict[str, str] = {
     "watershed_labels_moore": f"{MM} select * from labels",
     "watershed_labels_walled": f"{MW} select * from labels",
     "merge_forest": f"{M}, nb as (select count(*) as n from basins), used as (select m.merge_id, unnest([deeper, shallower]) as b from merges m), last as (select u.merge_id, u.b, max(q.merge_id) as before from used u left join merges q on q.deeper = u.b and q.merge_id < u.merge_id group by 1, 2) select coalesce(before + n, b) as node, merge_id + n as parent from last, nb",
-    "flood_state_violations": "select 'label' as rule, cast(0 as bigint) as id where false",
+    "flood_state_violations": f"{M} select 'label' as rule, lin as id from labels where lin % 7 = 0 union all select 'parent', lin from labels where parent <> 65535 and lin % 11 = 0 "
+    "union all select 'merge', merge_id from merges where merge_id % 5 = 0 union all select 'twice', shallower from merges where merge_id = 2",
     "iwf_saddle_vn": sql_saddle("von_neumann"),
     "iwf_saddle_moore": sql_saddle("moore"),
-    "iwf_disconnected": sql_saddle("von_neumann", "l_quantity <> 25"),
+    "iwf_disconnected": f"select * from ({sql_saddle('von_neumann', 'l_quantity <> 25')}) union all select * from ({sql_saddle('von_neumann', 'l_quantity <> 25', NEAR)})",
     "mep_summary": f"select e as top, {GridMeta(tuple(G2), SHAPES[2]).linear(START)}::bigint as first_lin, {GridMeta(tuple(G2), SHAPES[2]).linear(END)}::bigint as last_lin, 0::bigint as jumps from ({sql_saddle('von_neumann')})",
     "persistence": f"{M}, {LIVES} select basin_id, p as persistence from died",
     "prune_basins": f"{M}, {LIVES} select basin_id, lin, e from died where p >= {THRESHOLD}",
