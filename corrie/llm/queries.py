@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corrie.llm import lines, media, neighbours, packing, pieces, pii, quality, simhash, token_counts, toxicity
+from corrie.llm import filter_audit, lines, media, neighbours, packing, pieces, pii, quality, simhash, token_counts, toxicity
 from corrie.llm.common import prepare, table
 
 
@@ -62,6 +62,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op5, which SQL can express."""
     return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -72,7 +77,7 @@ def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, pii_base, media_payload)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, op11_filter_audit, pii_base, media_payload)}
 
 DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 LUHN = "list_sum(list_transform(range(len(d)), lambda i: (case when i % 2 = 0 then ascii(d[len(d) - i]) - 48 else (ascii(d[len(d) - i]) - 48) * 2 - (case when ascii(d[len(d) - i]) > 52 then 9 else 0 end) end))) % 10 = 0"
@@ -89,4 +94,15 @@ ORACLES: dict[str, str] = {
     r"select t.doc_id, len(regexp_extract_all(t.text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::bigint as n_email, coalesce(n.ip, 0)::bigint as n_ip, coalesce(n.card, 0)::bigint as n_card, coalesce(n.phone, 0)::bigint as n_phone from t left join n on n.r = t.r",
     "media_payload": "with t as (select doc_id, encode(coalesce(text, '')) as b from documents), s as (select *, octet_length(b)::bigint as n, greatest(1, (octet_length(b) + 575) // 576)::bigint * 576 as m from t) "
     "select doc_id, n as n_bytes, m as payload_bytes, sha256(b || unhex(repeat('FF', (m - n)::int))) as payload_sha256 from s",
+    "op11_filter_audit": "with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents), "
+    r"w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first_id from t), "
+    r"m as (select doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first_id, false)] as bits from w), "
+    "l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id), "
+    "c as (select m.part, m.bits, count(*) as n, count(*) filter (where l.good) as good, count(*) filter (where l.toxic) as toxic from m left join l on l.doc_id = m.doc_id group by m.part, m.bits), "
+    "x(k, a) as (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')), "
+    "o as (select p.a || q.a || r.a || s.a || t.a as filter_order, [p.k, q.k, r.k, s.k, t.k] as ks from x p, x q, x r, x s, x t where len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5), "
+    "e as (select c.part, o.filter_order, i.step, o.ks[i.step] as k, c.n, c.good, c.toxic, list_contains(list_transform(o.ks[1:i.step - 1], lambda y: c.bits[y]), true) as gone, c.bits[o.ks[i.step]] as fails, len(list_filter(c.bits, lambda y: y)) as f from c, o, (select unnest(range(1, 6))::int as step) i), "
+    "g as (select part, filter_order, step, any_value(k) as k, coalesce(sum(n) filter (where not gone and not fails), 0)::bigint as kept, coalesce(sum(n) filter (where not gone and fails), 0)::bigint as removed, coalesce(sum(n) filter (where gone and fails), 0)::bigint as redundant, "
+    "coalesce(sum(n) filter (where fails and f = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (where not gone and fails), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where not gone and fails), 0)::bigint as toxic_lost from e group by all) "
+    "select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, k))::bigint as shapley from g",
 }
