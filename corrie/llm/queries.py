@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corrie.llm import filter_audit, lines, media, neighbours, packing, pieces, pii, quality, simhash, token_counts, toxicity
+from corrie.llm import filter_audit, lines, media, neighbours, packing, passages, pieces, pii, quality, simhash, token_counts, toxicity
 from corrie.llm.common import prepare, table
 
 
@@ -67,6 +67,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return passages.cut_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op5, which SQL can express."""
     return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -77,7 +82,7 @@ def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, op11_filter_audit, pii_base, media_payload)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, op11_filter_audit, op12_passages, pii_base, media_payload)}
 
 DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 LUHN = "list_sum(list_transform(range(len(d)), lambda i: (case when i % 2 = 0 then ascii(d[len(d) - i]) - 48 else (ascii(d[len(d) - i]) - 48) * 2 - (case when ascii(d[len(d) - i]) > 52 then 9 else 0 end) end))) % 10 = 0"
