@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corrie.llm import filter_audit, lines, media, neighbours, packing, passages, pieces, pii, quality, simhash, token_counts, toxicity
+from corrie.llm import filter_audit, lines, media, neighbours, packing, passages, phrases, pieces, pii, quality, simhash, token_counts, toxicity
 from corrie.llm.common import prepare, table
 
 
@@ -72,6 +72,11 @@ def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.cut_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op5, which SQL can express."""
     return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -82,7 +87,7 @@ def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, op11_filter_audit, op12_passages, pii_base, media_payload)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_neighbours, op2_token_counts, op3_lines, op4_packing, op5_pii, op6_media, op7_simhash, op8_pieces, op9_toxicity, op10_quality, op11_filter_audit, op12_passages, op13_phrases, pii_base, media_payload)}
 
 DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 LUHN = "list_sum(list_transform(range(len(d)), lambda i: (case when i % 2 = 0 then ascii(d[len(d) - i]) - 48 else (ascii(d[len(d) - i]) - 48) * 2 - (case when ascii(d[len(d) - i]) > 52 then 9 else 0 end) end))) % 10 = 0"
@@ -110,4 +115,17 @@ ORACLES: dict[str, str] = {
     "g as (select part, filter_order, step, any_value(k) as k, coalesce(sum(n) filter (where not gone and not fails), 0)::bigint as kept, coalesce(sum(n) filter (where not gone and fails), 0)::bigint as removed, coalesce(sum(n) filter (where gone and fails), 0)::bigint as redundant, "
     "coalesce(sum(n) filter (where fails and f = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (where not gone and fails), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where not gone and fails), 0)::bigint as toxic_lost from e group by all) "
     "select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, k))::bigint as shapley from g",
+    "op13_phrases": r"with t as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents), "
+    "u as (select row_number() over () as piece, lang, w from t where len(w) > 0), v as (select piece, lang, unnest(w) as w, generate_subscripts(w, 1) as i from u), "
+    "n as (select lang, count(*)::bigint as n from v group by lang), "
+    "g as (select lang, w as w1, lead(w, 1) over p as w2, lead(w, 2) over p as w3, lead(w, 3) over p as w4 from v window p as (partition by piece order by i)), "
+    "p4 as (select lang, w1 as phrase, 1 as k from g union all select lang, w1 || ' ' || w2, 2 from g union all select lang, w1 || ' ' || w2 || ' ' || w3, 3 from g union all select lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 from g), "
+    "f as materialized (select lang, k, phrase, count(*)::bigint as f from p4 where phrase is not null group by all having count(*) >= 30), "
+    "c as (select *, string_split(phrase, ' ') as w from f where k > 1), "
+    "halves as materialized (select c.lang, c.phrase, c.f as a, j, array_to_string(c.w[1:j], ' ') as one, array_to_string(c.w[j + 1:], ' ') as two from c, (select unnest([1, 2, 3]) as j) where j < c.k), "
+    "cut as (select h.lang, h.phrase, h.a, h.j, x.f as l, y.f as r, (2000000::hugeint * h.a) // (x.f + y.f)::hugeint as score from halves h join f x on x.lang = h.lang and x.phrase = h.one join f y on y.lang = h.lang and y.phrase = h.two), "
+    "low as (select lang, phrase, a, arg_min((l, r, score), (score, j)) as s from cut group by all), "
+    "sub as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(f) as holds from c, (select unnest([1, 2, 3]) as i), (select unnest([2, 3]) as m) where m < k and i + m - 1 <= k group by all), "
+    "z as (select low.lang, low.phrase, a, s[1] as l, s[2] as r, n.n, s[3]::bigint as score from low join n on n.lang = low.lang left join sub on sub.lang = low.lang and sub.phrase = low.phrase where coalesce(100::hugeint * holds < 80::hugeint * a, true)) "
+    "select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z) where rank <= 2000",
 }
