@@ -50,6 +50,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept(list):
+    """Tables written for one owner, who can delete their files."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        table = stored(df)
+        self.append(table)
+        return table
+
+    def drop(self) -> None:
+        while self:
+            table = self.pop()
+            for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+                removed(table.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Add consecutive numbers from 0 in the given order, without one task for all rows.
 
