@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrie.functions.index import index_of
+from corrie.functions.index import NO_PARENT, index_of
 from corrie.meta import Grid, check_neighbourhood, check_points
-from corrie.operators.flood import Watershed
+from corrie.operators.flood import EXIT, Watershed, stencil_of
 
 
 class Line:
@@ -117,15 +118,76 @@ def check_tree(grid: Grid, tree: Watershed, neighborhood: str | None) -> None:
         raise ValueError("the tree is of a different energy grid")
 
 
+def crossings(tree: Watershed, cells: list[int]) -> DataFrame:
+    """``(origin, at, distance)``: the cells at which the parent chains of the given cells enter a block, with the origins themselves.
+
+    Exits are linked to the exits after them; links of doubled length are made and kept as far as the longest
+    chain goes, and then followed from the longest to the shortest, each round from what was written before. So plans stay
+    small, and what is joined are borders, not cells.
+    """
+    spark, kept = tree.spark, tree.kept
+    origins = sorted(set(cells))
+    place = spark.createDataFrame([(c,) for c in origins], "origin long")
+    first = tree.cellwise(["root", "dist"], _rows_of(origins), "origin long, root long, distance long")
+    start = kept(first)
+    links = kept(tree.told.where(F.col("kind") == EXIT).select("a", "b", F.col("n").alias("enters"), (F.col("steps") + 1).cast("long").alias("steps")))
+    levels = [links.select("a", "b", "steps")]
+    while True:
+        now = levels[-1].where("b % 2 = 1")
+        if not now.limit(1).count():
+            break
+        onward = levels[-1].select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("steps").alias("more"))
+        levels.append(kept(now.join(onward, "b").select("a", F.col("to").alias("b"), (F.col("steps") + F.col("more")).alias("steps"))))
+    # Roots on the way that are exits: each stands for a crossing into the next block.
+    found = kept(start.where("root % 2 = 1").select("origin", F.col("root").alias("a"), "distance"))
+    for level in reversed(levels):
+        hop = found.join(level, "a").where("b % 2 = 1").select("origin", F.col("b").alias("a"), (F.col("distance") + F.col("steps")).alias("distance"))
+        found = kept(found.unionByName(hop).distinct())
+    into = found.join(links.select("a", "enters"), "a").select("origin", F.col("enters").alias("at"), (F.col("distance") + 1).alias("distance"))
+    return kept(into.unionByName(place.select("origin", F.col("origin").alias("at"), F.lit(0).cast("long").alias("distance"))))
+
+
+def _rows_of(cells: list[int]):
+    def work(lin, arrays, _):
+        at = np.flatnonzero(np.isin(lin, cells))
+        return lin[at], arrays["root"][at], arrays["dist"][at].astype(np.int64)
+
+    return work
+
+
 def chains(tree: Watershed, cells: list[int]) -> DataFrame:
-    """``(origin, at, distance)``: every cell on the parent chains of the given cells, by doubling."""
-    spark = tree.grid.cells.sparkSession
-    found = spark.createDataFrame([(c, c, 0) for c in sorted(set(cells))], "origin long, at long, distance long")
-    for k in reversed(range(len(tree.levels))):
-        hop = found.join(tree.levels[k], F.col("at") == F.col("lin")).where("to <> at").select("origin", F.col("to").alias("at"), (F.col("distance") + 2**k).alias("distance"))
-        found = found.unionByName(hop)
-    # A hop that passes the seed stops there with too large a distance; of each cell the least is right.
-    return found.groupBy("origin", "at").agg(F.min("distance").alias("distance"))
+    """``(origin, at, distance)``: every cell on the parent chains of the given cells.
+
+    Blocks walk the parts of the chains that lie in them.
+    """
+    tiling = tree.tiling
+    jumps = {c: j for _, c, _, j in stencil_of(tiling.shape, tree.neighborhood)}
+
+    def located(batches):
+        for batch in batches:
+            tile, _ = tiling.locate(batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tile)], ["origin", "at", "distance", "tile"])
+
+    def walk(batches):
+        for batch in batches:
+            for tile, code, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code, lin = np.frombuffer(code, np.uint16), tiling.lin(tile).ravel()
+                out: list[tuple[int, int, int]] = []
+                for s in starts:
+                    at, steps = s["at"], s["distance"]
+                    while True:
+                        k = int(np.searchsorted(lin, at))
+                        if k == len(lin) or lin[k] != at:
+                            break
+                        out.append((s["origin"], at, steps))
+                        if code[k] == NO_PARENT:
+                            break
+                        at, steps = at + jumps[int(code[k])], steps + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["origin", "at", "distance"])
+
+    starts = crossings(tree, cells).mapInArrow(located, "origin long, at long, distance long, tile long")
+    by_block = starts.groupBy("tile").agg(F.collect_list(F.struct("origin", "at", "distance")).alias("starts"))
+    return tree.tiles.select("tile", "code").join(by_block, "tile").mapInArrow(walk, "origin long, at long, distance long")
 
 
 def path_table(tree: Watershed, start, end) -> DataFrame | None:
@@ -143,7 +205,7 @@ def path_table(tree: Watershed, start, end) -> DataFrame | None:
         found = Line(tree.basins.count(), tree.merge_list).legs(a, leaf[a], b, leaf[b])
         if found is None:
             return None
-        walked = chains(tree, [c for x, y, _ in found for c in (x, y)])
+        walked = tree.kept(chains(tree, [c for x, y, _ in found for c in (x, y)]))
         depth = {r.origin: r.depth for r in walked.groupBy("origin").agg(F.max("distance").alias("depth")).collect()}
         rows, at = [], 0
         for x, y, _ in found:
@@ -152,7 +214,7 @@ def path_table(tree: Watershed, start, end) -> DataFrame | None:
             rows.append((y, at + depth[y], -1, depth[y]))  # its seed is the end of the first part
             at += depth[y] + 1
         legs = spark.createDataFrame(rows, "origin long, base long, sign int, last long")
-        joined = walked.join(F.broadcast(legs), "origin").where("sign = 1 or distance < last")
+        joined = walked.join(legs, "origin").where("sign = 1 or distance < last")
         parts = joined.select((F.col("base") + F.col("sign") * F.col("distance")).alias("step"), F.col("at").alias("lin"))
     cells = tree.grid.cells.select("lin", F.col("e").cast("double").alias("e"))
     return parts.join(cells, "lin").select("step", "lin", *index_of(meta), "e")

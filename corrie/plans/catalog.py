@@ -250,19 +250,40 @@ def sql_saddle(name: str, where: str = "true", end=None) -> str:
     )
 
 
+def sql_path(name: str, start=START, end=END) -> str:
+    """The path: pieces between two cells are cut at the first edge that joins their leaves, until both are in one leaf."""
+    meta = GridMeta(tuple(G2), SHAPES[2])
+    return (
+        f"{sql_merges(name)}, pieces(ord, x, lx, y, ly) as (select '', a.lin, a.leaf, b.lin, b.leaf from leafs a, leafs b where a.lin = {meta.linear(start)} and b.lin = {meta.linear(end)} "
+        "union all select p.ord || s.bit, case when s.bit = '0' then p.x when h.here then f.n else f.lin end, case when s.bit = '0' then p.lx when h.here then f.lb else f.la end, "
+        "case when s.bit = '1' then p.y when h.here then f.lin else f.n end, case when s.bit = '1' then p.ly when h.here then f.la else f.lb end "
+        "from pieces p join bott o on o.x = p.lx and o.y = p.ly join first f on f.k = o.k left join bott q on q.x = p.lx and q.y = f.la and q.k < o.k, lateral (select p.lx = f.la or q.x is not null as here) h, (values ('0'), ('1')) s(bit) where p.lx <> p.ly), "
+        "legs as (select row_number() over (order by ord) as leg, x, y from pieces where lx = ly), tips as (select x as c from legs union select y from legs), "
+        "chain(c, cell, d) as (select c, c, 0 from tips union all select h.c, p.parent, h.d + 1 from chain h join parents p on p.lin = h.cell), "
+        "deep as (select c, max(d) as m from chain group by c), "
+        "based as (select l.leg, l.x, l.y, a.m as dx, b.m as dy, coalesce(sum(a.m + b.m + 1) over (order by l.leg rows between unbounded preceding and 1 preceding), 0) as base from legs l join deep a on a.c = l.x join deep b on b.c = l.y), "
+        "walked as (select base + h.d as step, h.cell as lin from based join chain h on h.c = x union all select base + dx + dy - h.d, h.cell from based join chain h on h.c = y and h.d < dy) "
+        "select step::bigint as step, w.lin, c.i0, c.i1, cast(c.e as double) as e from walked w join cells c on c.lin = w.lin"
+    )
+
+
 M, MM, MW = sql_merges("von_neumann"), sql_merges("moore"), sql_merges("von_neumann", "l_quantity <> 25")
 LIVES = "died as (select b.basin_id, b.lin, b.e, m.deeper, m.saddle, m.e as se, coalesce(m.e - b.e, cast('inf' as double)) as p from basins b left join merges m on m.shallower = b.basin_id)"
 MASKED = {n: f"with recursive {sql_flood(3, m, VALID)}" for n, m in (("vn", "von_neumann"), ("moore", "moore"))}
 POINT_ROWS = ", ".join(f"({i}, {GridMeta(tuple(G2), SHAPES[2]).linear(p)})" for i, p in enumerate(POINTS))
 TURNS = (
-    "with p as (select l_suppkey as path_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice) - 1 as step, l_extendedprice as e from lineitem), "
-    "q as (select *, sign(lead(e) over w - e) as g, max(step) over (partition by path_id) as last from p window w as (partition by path_id order by step)), "
-    "m as (select *, lag(g) over w as b, lead(g) over w as a from q where g <> 0 window w as (partition by path_id order by step)), "
-    "t as (select path_id, step, case when g < 0 then 'saddle' else 'min' end as kind from m where b <> g union all select path_id, 0, case when g < 0 then 'saddle' else 'min' end from m where b is null "
-    "union all select path_id, last, case when g > 0 then 'saddle' else 'min' end from m where a is null union all select path_id, 0, 'min' from q group by path_id having coalesce(max(abs(g)), 0) = 0) "
-    "select t.path_id, t.kind, t.step as path_index, p.e from t join p on p.path_id = t.path_id and p.step = t.step"
+    "with p as materialized (select l_suppkey as path_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice) - 1 as step, l_extendedprice as e from lineitem), "
+    "q as materialized (select *, sign(lead(e) over (partition by path_id order by step) - e) as g, max(step) over (partition by path_id) as last, first_value(e) over (partition by path_id order by step) as e0, max_by(e, step) over (partition by path_id) as e9 from p), "
+    "m as materialized (select *, lag(g) over w as b, lead(g) over w as a from q where g <> 0 window w as (partition by path_id order by step)) "
+    "select path_id, case when g < 0 then 'saddle' else 'min' end as kind, step as path_index, e from m where b <> g "
+    "union all select path_id, case when g < 0 then 'saddle' else 'min' end, 0, e0 from m where b is null "
+    "union all select path_id, case when g > 0 then 'saddle' else 'min' end, last, e9 from m where a is null "
+    "union all select path_id, 'min', 0, any_value(e0) from q group by path_id having coalesce(max(abs(g)), 0) = 0"
 )
 
+#: The least gap between neighbouring points other than the one that always stays, and where it is.
+GAP = "list_sort(list_transform(list_filter(range(1, len(pts)), lambda p: pts[p].i is distinct from keep and pts[p + 1].i is distinct from keep), lambda p: struct_pack(size := abs(pts[p + 1].e - pts[p].e), p := p)))[1]"
+
 ORACLES: dict[str, str] = {
     "build_dense": f"with {sql_cells(3)} select * from cells",
     "build_dense_dups": "with x0 as (select v, cast(row_number() over (order by v) - 1 as int) as i0 from (select distinct l_linenumber as v from lineitem)), x1 as (select v, cast(row_number() over (order by v) - 1 as int) as i1 from (select distinct l_discount as v from lineitem)), "
@@ -292,6 +313,7 @@ ORACLES: dict[str, str] = {
     "iwf_saddle_vn": sql_saddle("von_neumann"),
     "iwf_saddle_moore": sql_saddle("moore"),
     "iwf_disconnected": f"select * from ({sql_saddle('von_neumann', 'l_quantity <> 25')}) union all select * from ({sql_saddle('von_neumann', 'l_quantity <> 25', NEAR)})",
+    "mep_path": sql_path("von_neumann"),
     "mep_summary": f"select e as top, {GridMeta(tuple(G2), SHAPES[2]).linear(START)}::bigint as first_lin, {GridMeta(tuple(G2), SHAPES[2]).linear(END)}::bigint as last_lin, 0::bigint as jumps from ({sql_saddle('von_neumann')})",
     "persistence": f"{M}, {LIVES} select basin_id, p as persistence from died",
     "prune_basins": f"{M}, {LIVES} select basin_id, lin, e from died where p >= {THRESHOLD}",
@@ -308,4 +330,8 @@ ORACLES: dict[str, str] = {
     "walk(b, came, depth, way) as (select 0, -1, 0, cast([] as int[]) union all select nb.n, w.b, w.depth + 1, list_append(w.way, nb.o) from walk w join nb on nb.b = w.b where nb.n <> w.came) "
     "select row_number() over (order by depth, way) - 1 as ordinal, b as basin_id, depth from walk",
     "profile_extrema": TURNS,
+    "profile_pruned": f"with recursive turns as ({TURNS}), lists as (select path_id, list(struct_pack(i := path_index, kind := kind, e := e) order by path_index) as pts from turns group by path_id), "
+    "kept as (select path_id, pts, list_sort(list_transform(list_filter(pts, lambda x: x.kind = 'min'), lambda x: struct_pack(e := x.e, i := x.i)))[1].i as keep from lists), "
+    f"walk(path_id, pts, keep, gap) as (select path_id, pts, keep, {GAP} from kept union all select path_id, cut, keep, {GAP.replace('pts', 'cut')} from (select path_id, keep, list_concat(pts[1:gap.p - 1], pts[gap.p + 2:]) as cut from walk where gap.size < 20000 and len(pts) > 2)) "
+    "select path_id, kind, i as path_index, e from (select path_id, unnest(pts, recursive := true) from walk where not coalesce(gap.size < 20000 and len(pts) > 2, false))",
 }
