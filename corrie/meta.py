@@ -65,9 +65,16 @@ class Grid:
             raise ValueError(f"the grid has {self.meta.size} cells; at most {MAX_CELLS} are handled")
 
     def check_complete(self) -> None:
-        """The counterpart of a C-contiguous array: every cell once."""
-        n, least, most, kinds = self.cells.agg(F.count("*"), F.min("lin"), F.max("lin"), F.count_distinct("lin")).first()
-        if (n, kinds) != (self.meta.size,) * 2 or n and (least, most) != (0, n - 1):
+        """The counterpart of a C-contiguous array: every cell once.
+
+        One pass: cells are marked in bitmaps by ranges of 32,768 linear indices, and a bitmap is short of a bit wherever
+        a cell is missing or was met twice. Operators that make blocks of a grid see the same there and need not call this.
+        """
+        lin = F.col("lin")
+        inside = lin.between(0, self.meta.size - 1)
+        marks = self.cells.where(inside).groupBy(F.bitmap_bucket_number(lin).alias("part")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(lin))).alias("kinds"), F.count("*").alias("n"))
+        n, kinds = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+        if (n, kinds) != (self.meta.size,) * 2 or self.cells.where(~inside | lin.isNull()).limit(1).count():
             raise ValueError("cells must be C-contiguous: each of the grid's cells once")
 
 

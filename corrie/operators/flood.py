@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import count
 from math import prod
 
 import numpy as np
@@ -38,6 +39,7 @@ from corrie.store import Kept, numbered, stored
 DRIVER_EDGES = 500_000
 #: Basins up to which the chains of absorptions are sent to all executors, some 40 bytes for each.
 CHAINS = 1_500_000
+ENDLESS = "flood-parent chain does not terminate"
 #: Pairs of neighbours in different basins that a block holds before it reduces them.
 PAIRS = 1 << 22
 
@@ -90,12 +92,13 @@ def first_lower(key: np.ndarray, stencil) -> tuple[np.ndarray, np.ndarray]:
 def ends_of(to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each chain of a forest of pointers ends, and how many steps that takes."""
     steps = (to != np.arange(len(to))).astype(np.int32)
-    while True:
+    for _ in range(len(to).bit_length() + 1):
         further = to[to]
         if np.array_equal(further, to):
             return to, steps
         steps = steps + steps[to]
         to = further
+    raise ValueError(ENDLESS)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,7 +206,11 @@ def borders(table: DataFrame, made: Blocks, neighbourhood: str) -> DataFrame:
 def resolved(exits: DataFrame, kept: Kept) -> DataFrame:
     """``(a, seed)``: the seed at which each exit ends, by doubling; those that have ended take no part any more."""
     now = kept(exits.select("a", "b"))
-    while now.where("b % 2 = 1").limit(1).count():
+    for rounds in count():
+        if not now.where("b % 2 = 1").limit(1).count():
+            break
+        if rounds > 40:
+            raise ValueError(ENDLESS)
         onward = now.select(F.col("a").alias("b"), F.col("b").alias("to"))
         now = kept(now.where("b % 2 = 1").join(onward, "b").select("a", F.col("to").alias("b")).unionByName(now.where("b % 2 = 0")))
     return now.select("a", F.col("b").alias("seed"))

@@ -104,6 +104,36 @@ def find_iwf_grid(grid: Grid, start, end, neighborhood: str = "von_neumann", *,
     return grid.meta.index(best[2]), best[0]
 
 
+def saddles(tree: Watershed, pairs: DataFrame) -> DataFrame:
+    """``(pair_id, lin, e)``: the minimax saddle of every pair ``(pair_id, start, end)`` of linear indices.
+
+    Pairs that no path joins and those with a masked cell have no row. The latest gap between two places in the
+    row of basins is the later of two from a table of the latest among the next 1, 2, 4, ... gaps, so a pair
+    takes two joins and no pair is looked at alone.
+    """
+    spark, kept, line = tree.spark, tree.kept, Line(tree.basins.count(), tree.merge_list)
+    n = len(line.place)
+    places = spark.createDataFrame(pa.table({"leaf": np.arange(n), "place": line.place.astype(np.int64)}))
+    now = kept(spark.createDataFrame(pa.table({"place": np.arange(n), "top": line.gaps.astype(np.int64)})).withColumn("level", F.lit(0)))
+    latest = now
+    for level in range(1, max(n - 1, 1).bit_length()):
+        ahead = now.select((F.col("place") - 2 ** (level - 1)).alias("place"), F.col("top").alias("other"))
+        now = kept(now.join(ahead, "place").select("place", F.greatest("top", "other").alias("top"), F.lit(level).alias("level")))
+        latest = latest.unionByName(now)
+    passes = spark.createDataFrame([(k, m.e, m.nz, m.saddle) for k, m in enumerate(tree.merge_list)], "top long, e double, nz int, lin long").select("top", F.struct("e", "nz", "lin").alias("pass"))
+    cells = tree.valid.select("lin", F.struct(F.col("e").cast("double").alias("e"), "nz", "lin").alias("own")).join(tree.leaf, "lin").join(places, "leaf")
+    side = lambda name: cells.select(F.col("lin").alias(name), F.col("own").alias(f"{name}_own"), F.col("place").alias(f"{name}_place"))
+    both = pairs.select("pair_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).join(side("start"), "start").join(side("end"), "end")
+    both = both.withColumns({"low": F.least("start_place", "end_place"), "high": F.greatest("start_place", "end_place"), "here": F.greatest("start_own", "end_own")})
+    same = both.where("low = high").select("pair_id", F.col("here").alias("s"))
+    apart = both.where("low < high").withColumn("level", (F.length(F.bin(F.col("high") - F.col("low"))) - 1).cast("int"))
+    one = latest.select("level", F.col("place").alias("low"), F.col("top").alias("first"))
+    two = latest.select("level", F.col("place").alias("back"), F.col("top").alias("second"))
+    apart = apart.join(one, ["level", "low"]).withColumn("back", (F.col("high") - F.pow(F.lit(2), F.col("level"))).cast("long")).join(two, ["level", "back"])
+    crossed = apart.select("pair_id", "here", F.greatest("first", "second").alias("top")).join(passes, "top")
+    return same.unionByName(crossed.select("pair_id", F.greatest("here", "pass").alias("s"))).select("pair_id", "s.lin", "s.e")
+
+
 def check_tree(grid: Grid, tree: Watershed, neighborhood: str | None) -> None:
     """A flood may stand in for a new one only if it is of the same grid, whole, and with parents."""
     if tree.dropped:

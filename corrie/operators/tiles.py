@@ -136,8 +136,7 @@ def blocks(grid: Grid) -> Blocks:
     """The grid's boxes, made once for each grid. Each cell must be there exactly once."""
     if (done := grid.__dict__.get("_blocks")) is not None and done[0] is grid.cells:
         return done[1]
-    found = grid.__dict__.get("made_blocks")
-    made = found() if found else packed(grid)
+    made = packed(grid)
     grid.__dict__["_blocks"] = (grid.cells, made)
     return made
 

@@ -21,8 +21,9 @@ G2 = ["l_quantity", "l_discount"]
 G3 = ["l_quantity", "l_discount", "l_tax"]
 G5 = ["l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 #: Axis lengths, the same at every scale; the SQL needs them for strides and codes.
-SHAPES = {2: (50, 11), 3: (50, 11, 9), 5: (7, 11, 9, 3, 2)}
-AXES = {2: G2, 3: G3, 5: G5}
+SHAPES = {2: (50, 11), 3: (50, 11, 9), 5: (7, 11, 9, 3, 2), "parts": (0, 50)}
+#: ``parts`` grows with the scale: its first axis has as many values as there are parts.
+AXES = {2: G2, 3: G3, 5: G5, "parts": ["l_partkey", "l_quantity"]}
 VALID = "l_returnflag = 'R' and l_linestatus = 'F'"
 START, END, THRESHOLD = (0, 0), (49, 10), 5.0
 #: A cell on the same side of the wall of `walled` as START.
@@ -39,7 +40,7 @@ def priced(spark: SparkSession, sf_dir: str, axes: list[str], where: str = "true
     return build_dense(least, axes, "e", domain=rows)[0]
 
 
-def grid(n: int) -> Callable[[SparkSession, str], Grid]:
+def grid(n: int | str) -> Callable[[SparkSession, str], Grid]:
     return lambda spark, sf_dir: priced(spark, sf_dir, AXES[n])
 
 
@@ -136,6 +137,15 @@ def found(make, kinds: tuple[str, ...], **ranges) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: extrema.extrema(make(spark, sf_dir), kinds, **ranges)
 
 
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(pair_id, start, end)``: of each order the cells of its first two lines."""
+    rows = lineitem(spark, sf_dir)
+    for k, a in enumerate(G2):
+        rows = rows.join(axis_values(rows, a).select(F.col("value").alias(a), F.col("pos").alias(f"i{k}")), a)
+    ends = rows.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("pair_id")).agg(*(F.max(F.when(F.col("l_linenumber") == n, F.col("i0").cast("long") * SHAPES[2][1] + F.col("i1"))).alias(c) for n, c in ((1, "start"), (2, "end"))))
+    return ends.where("start is not null and end is not null")
+
+
 def merges_of(name: str):
     return lambda s, d: shed(s, d, name).merges
 
@@ -169,6 +179,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iwf_saddle_vn": lambda s, d: saddle(s, d, "von_neumann"),
     "iwf_saddle_moore": lambda s, d: saddle(s, d, "moore"),
     "iwf_disconnected": walled_saddles,
+    "saddle_pairs": lambda s, d: paths.saddles(shed(s, d), order_pairs(s, d)),
+    "minima_parts": found(grid("parts"), ("min",)),
+    "minima_parts_r3": found(grid("parts"), ("min",), neighborhood_range=3),
+    "flood_parents_parts": lambda s, d: flood.Watershed(grid("parts")(s, d), "moore").parents_table,
+    "flood_leaf_parts": lambda s, d: flood.Watershed(grid("parts")(s, d), "moore").leaf,
     "mep_path": path,
     "mep_summary": path_summary,
     "persistence": with_tree(tree.persistence),
@@ -190,15 +205,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # SQL ---------------------------------------------------------------------------------------------------
 
 
-def sql_cells(n: int, where: str = "true", value: str = "min(l_extendedprice)") -> str:
+def sql_cells(n: int | str, where: str = "true", value: str = "min(l_extendedprice)") -> str:
     """CTEs ``x0`` ..., ``cells(lin, i0.., e)``."""
     axes, meta = AXES[n], GridMeta(tuple(AXES[n]), SHAPES[n])
     dims = ", ".join(f"x{k} as (select v, cast(row_number() over (order by v) - 1 as int) as i from (select distinct {a} as v from lineitem))" for k, a in enumerate(axes))
     lin = " + ".join(f"cast(x{k}.i as bigint) * {s}" for k, s in enumerate(meta.strides))
     keys = ", ".join(axes)
     on = " and ".join(f"p.{a} = x{k}.v" for k, a in enumerate(axes))
-    index = ", ".join(f"x{k}.i as i{k}" for k in range(n))
-    cross = ", ".join(f"x{k}" for k in range(n))
+    index = ", ".join(f"x{k}.i as i{k}" for k in range(len(axes)))
+    cross = ", ".join(f"x{k}" for k in range(len(axes)))
     return f"{dims}, priced as (select {keys}, {value} as p from lineitem where {where} group by {keys}), cells as (select {lin} as lin, {index}, p.p as e from {cross} left join priced p on {on})"
 
 
@@ -210,13 +225,14 @@ def sql_extrema(n: int, kinds: tuple[str, ...], r: int, where: str = "true") ->
     return f"with {sql_cells(n, where)}, near as (select * from ({box}) where n > 1) {' union all '.join(parts)}"
 
 
-def sql_flood(n: int, name: str, where: str = "true") -> str:
+def sql_flood(n: int | str, name: str, where: str = "true") -> str:
     """CTEs ``v, lower, parents, basins``."""
     meta = GridMeta(tuple(AXES[n]), SHAPES[n])
+    axes = range(meta.ndim)
     steps = ", ".join(f"({p}, {c}, {', '.join(map(str, s))})" for p, c, s in offsets(meta, name))
-    moved = " and ".join(f"o.i{k} = c.i{k} + s.d{k}" for k in range(n))
+    moved = " and ".join(f"o.i{k} = c.i{k} + s.d{k}" for k in axes)
     return (
-        f"{sql_cells(n, where)}, steps(pos, code, {', '.join(f'd{k}' for k in range(n))}) as (values {steps}), v as (select * from cells where e is not null), "
+        f"{sql_cells(n, where)}, steps(pos, code, {', '.join(f'd{k}' for k in axes)}) as (values {steps}), v as (select * from cells where e is not null), "
         f"lower as (select c.lin, c.e, s.pos, s.code, o.lin as n from v c, steps s join v o on {moved} where o.e < c.e or (o.e = c.e and o.lin < c.lin)), "
         "parents as (select lin, arg_min(n, pos) as parent, cast(arg_min(code, pos) as int) as code from lower group by lin), "
         "basins as (select cast(row_number() over (order by e, lin) - 1 as int) as basin_id, lin, e from v where lin not in (select lin from parents)), "
@@ -250,6 +266,31 @@ def sql_saddle(name: str, where: str = "true", end=None) -> str:
     )
 
 
+def sql_minima_passes(n: int | str, r: int) -> str:
+    """The same minima by windows, axis by axis, where comparing all cells of a box would take long."""
+    axes = range(len(AXES[n]))
+    steps, last = [], "cells"
+    for k in axes:
+        others = ", ".join(f"i{j}" for j in axes if j != k)
+        window = f"over (partition by {others} order by i{k} range between {r} preceding and {r} following)"
+        low, many = ("e", "e") if k == 0 else ("low", "many")
+        steps.append(f"s{k} as (select lin, {', '.join(f'i{j}' for j in axes)}, e, min({low}) {window} as low, {'count' if k == 0 else 'sum'}({many}) {window} as many from {last})")
+        last = f"s{k}"
+    return f"with {sql_cells(n)}, {', '.join(steps)} select 'min' as kind, lin, {', '.join(f'i{j}' for j in axes)}, cast(e as double) as e from {last} where e = low and many > 1"
+
+
+def sql_pairs(name: str) -> str:
+    lin = f"(select (row_number() over (order by v) - 1) * {SHAPES[2][1]} as i, v from (select distinct l_quantity as v from lineitem))"
+    low = "(select row_number() over (order by v) - 1 as i, v from (select distinct l_discount as v from lineitem))"
+    return (
+        f"{sql_merges(name)}, at as (select l_orderkey as pair_id, l_linenumber as nr, max(q.i + d.i) as lin from lineitem l join {lin} q on q.v = l_quantity join {low} d on d.v = l_discount where l_linenumber <= 2 group by all), "
+        "two as (select pair_id, max(lin) filter (where nr = 1) as a, max(lin) filter (where nr = 2) as b from at group by pair_id having count(*) = 2), "
+        "ways as (select t.pair_id, t.a, t.b, x.leaf as la, y.leaf as lb, o.k from two t join leafs x on x.lin = t.a join leafs y on y.lin = t.b left join bott o on o.x = x.leaf and o.y = y.leaf), "
+        "tops as (select pair_id, unnest([a, b]) as lin from ways where la = lb or k is not null union all select w.pair_id, f.lin from ways w join first f on f.k = w.k where la <> lb) "
+        "select pair_id, arg_max(t.lin, (v.e, t.lin)) as lin, cast(max(v.e) as double) as e from tops t join v on v.lin = t.lin group by pair_id"
+    )
+
+
 def sql_path(name: str, start=START, end=END) -> str:
     """The path: pieces between two cells are cut at the first edge that joins their leaves, until both are in one leaf."""
     meta = GridMeta(tuple(G2), SHAPES[2])
@@ -313,6 +354,11 @@ ORACLES: dict[str, str] = {
     "iwf_saddle_vn": sql_saddle("von_neumann"),
     "iwf_saddle_moore": sql_saddle("moore"),
     "iwf_disconnected": f"select * from ({sql_saddle('von_neumann', 'l_quantity <> 25')}) union all select * from ({sql_saddle('von_neumann', 'l_quantity <> 25', NEAR)})",
+    "saddle_pairs": sql_pairs("von_neumann"),
+    "minima_parts": sql_minima_passes("parts", 1),
+    "minima_parts_r3": sql_minima_passes("parts", 3),
+    "flood_parents_parts": f"with recursive {sql_flood('parts', 'moore')} select * from parents",
+    "flood_leaf_parts": f"with recursive {sql_flood('parts', 'moore')} select lin, leaf from leafs",
     "mep_path": sql_path("von_neumann"),
     "mep_summary": f"select e as top, {GridMeta(tuple(G2), SHAPES[2]).linear(START)}::bigint as first_lin, {GridMeta(tuple(G2), SHAPES[2]).linear(END)}::bigint as last_lin, 0::bigint as jumps from ({sql_saddle('von_neumann')})",
     "persistence": f"{M}, {LIVES} select basin_id, p as persistence from died",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from corrie.functions.index import index_of, lin_of
 from corrie.meta import Grid, GridMeta
+from corrie.sources.arrays import array_of, cells_of
 from corrie.store import numbered, stored
 
 
@@ -63,22 +64,15 @@ def from_array(spark: SparkSession, energies: np.ndarray) -> Grid:
     if not energies.flags.c_contiguous:
         raise ValueError("energies must be C-contiguous")
     meta = GridMeta(tuple(f"a{k}" for k in range(energies.ndim)), energies.shape)
-    kind = "float" if energies.dtype == np.float32 else "double"
-    cells = spark.createDataFrame([(i, float(x)) for i, x in enumerate(energies.ravel())], f"lin long, e {kind}")
-    return Grid(cells.select("lin", *index_of(meta), "e"), meta)
+    return Grid(cells_of(spark, energies).select("lin", *index_of(meta), "e"), meta)
 
 
 def to_array(grid: Grid) -> np.ndarray:
     """The grid on the driver, NaN where masked; for small grids."""
-    out = np.full(grid.meta.size, np.nan, grid.dtype)
-    for r in grid.cells.where("e is not null").select("lin", "e").collect():
-        out[r.lin] = r.e
-    return out.reshape(grid.meta.shape)
+    return array_of(grid)
 
 
 def read_masked(spark: SparkSession, path: str, axes: list[str], value: str, valid: str | F.Column) -> tuple[Grid, dict[str, DataFrame]]:
     """A grid of a parquet table whose axes come from all rows and whose energies only from valid ones."""
     rows = spark.read.parquet(path)
     return build_dense(rows.where(valid), axes, value, domain=rows)
-
-
