@@ -283,10 +283,10 @@ def sql_pairs(name: str) -> str:
     lin = f"(select (row_number() over (order by v) - 1) * {SHAPES[2][1]} as i, v from (select distinct l_quantity as v from lineitem))"
     low = "(select row_number() over (order by v) - 1 as i, v from (select distinct l_discount as v from lineitem))"
     return (
-        f"{sql_merges(name)}, at as (select l_orderkey as pair_id, l_linenumber as nr, max(q.i + d.i) as lin from lineitem l join {lin} q on q.v = l_quantity join {low} d on d.v = l_discount where l_linenumber <= 2 group by all), "
-        "two as (select pair_id, max(lin) filter (where nr = 1) as a, max(lin) filter (where nr = 2) as b from at group by pair_id having count(*) = 2), "
+        f"{sql_merges(name)}, spot as (select l_orderkey as pair_id, l_linenumber as nr, max(q.i + d.i) as lin from lineitem l join {lin} q on q.v = l_quantity join {low} d on d.v = l_discount where l_linenumber <= 2 group by all), "
+        "two as (select pair_id, max(lin) filter (where nr = 1) as a, max(lin) filter (where nr = 2) as b from spot group by pair_id having count(*) = 2), "
         "ways as (select t.pair_id, t.a, t.b, x.leaf as la, y.leaf as lb, o.k from two t join leafs x on x.lin = t.a join leafs y on y.lin = t.b left join bott o on o.x = x.leaf and o.y = y.leaf), "
-        "tops as (select pair_id, unnest([a, b]) as lin from ways where la = lb or k is not null union all select w.pair_id, f.lin from ways w join first f on f.k = w.k where la <> lb) "
+        "tops as (select pair_id, unnest([a, b]) as lin from ways where la = lb or k is not null union all select w.pair_id, f.lin from ways w join first f on f.k = w.k where w.la <> w.lb) "
         "select pair_id, arg_max(t.lin, (v.e, t.lin)) as lin, cast(max(v.e) as double) as e from tops t join v on v.lin = t.lin group by pair_id"
     )
 
