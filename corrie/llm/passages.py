@@ -26,12 +26,15 @@ taken in pieces of ``FLUSH`` bytes. Further columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of texts handled together; less than 2 ** 24, since places in them take 24 bits.
 FLUSH = 1 << 22
+#: Bytes hashed at once, few enough for a processor's cache.
+CHUNK = 1 << 16
 #: Strings of a collection, and strings under one hash from which it goes the other way.
 COLLECTION = 1 << 16
 #: Keys with over this share of all rows, so fewer than its inverse, are broadcast.
@@ -87,9 +92,13 @@ class Strings:
         if n <= 0:
             return
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-        hashes = gram_hashes(self.raw, GRAM)
-        least = sliding_least((hashes & ~LOW24) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)
-        anchor = (least & LOW24).astype(np.int64)
+        hashes, anchor = np.empty(len(self.raw), np.uint64), np.empty(n, np.int64)
+        for at in range(0, n, CHUNK):
+            part = gram_hashes(self.raw[at : at + CHUNK + length - 1], GRAM)
+            hashes[at : at + len(part)] = part
+            part &= ~LOW24
+            part |= np.arange(len(part), dtype=np.uint64)
+            anchor[at : at + CHUNK] = (sliding_least(part, length - GRAM + 1) & LOW24).astype(np.int64) + at
         whole = owner[:n] == owner[length - 1 :]
         change = np.ones(n + 1, bool)
         change[1:n] = (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])
@@ -139,11 +148,11 @@ def by_doc(docs: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs[starts]), lists], ["doc_id", "found"])
 
 
-def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, found)``: for each document the (cut) anchor hashes that another document has too.
+def sent_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``(bucket, doc_id, keys, docs)``: anchor hashes for their buckets, packed, and (bucket -1) those settled already.
 
-    Hashes go to buckets, packed into arrays. What one flush sees in two documents is settled there, and the
-    bucket only learns that it is shared, so a hash that most documents have comes to its bucket once a flush.
+    What one flush sees in two documents is settled there, and the bucket only learns that it is shared, so a
+    hash that most documents have comes to its bucket once a flush.
     """
 
     def send(batches):
@@ -164,14 +173,22 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             settled = by_doc(doc[of_each], ident[of_each])
             out = [(-1, d, np.array(v, np.int64).tobytes(), b"") for d, v in zip(settled.column(0).to_pylist(), settled.column(1).to_pylist(), strict=True)]
             for kind, (k, d) in enumerate(((ident[~of_each], doc[~of_each]), (ident[starts[several]], np.zeros(0, np.int64)))):
+                if not len(k):
+                    continue
                 bucket, rest = (k % np.uint64(buckets)).astype(np.int64), (k // np.uint64(buckets)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, rest, d = bucket[order], rest[order], d[order] if kind == 0 else d
-                marks = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+                marks = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 for a, b in zip(marks, np.append(marks[1:], len(bucket)), strict=True):
                     out.append((int(bucket[a]), None, rest[a:b].tobytes(), d[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "doc_id", "keys", "docs"])
 
+    return docs.select("text", "doc_id").mapInArrow(send, "bucket int, doc_id long, keys binary, docs binary")
+
+
+def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
+    """``(doc_id, found)``: for each document the (cut) anchor hashes that another document has too."""
+
     def settle(batches):
         def shared(bucket, keys, ids):
             key = np.concatenate([np.frombuffer(k, np.uint32) for k in keys])
@@ -200,15 +217,21 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "found"])
 
-    sent = Stored(docs.select("text", "doc_id").mapInArrow(send, "bucket int, doc_id long, keys binary, docs binary"), "anchors")
-    bucketed = sent.df.where("bucket >= 0").select("bucket", "keys", "docs").repartition("bucket").sortWithinPartitions("bucket")
-    settled = sent.df.where("bucket < 0").select("doc_id", "keys").mapInArrow(unpacked, "doc_id long, found array<bigint>")
+    bucketed = sent.where("bucket >= 0").select("bucket", "keys", "docs").repartition("bucket").sortWithinPartitions("bucket")
+    settled = sent.where("bucket < 0").select("doc_id", "keys").mapInArrow(unpacked, "doc_id long, found array<bigint>")
     both = settled.unionByName(bucketed.mapInArrow(settle, "doc_id long, found array<bigint>"))
     return both.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
+STRINGS = "doc_id long, text_hash long, pos long, key long, string_hash long, low long, high long, n long, off int, string binary"
+
+
 def strings_of(docs: DataFrame, found: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, text_hash, pos, key, off, string)``: strings with a shared anchor; ``off`` is the anchor's place in the string."""
+    """Strings with a shared anchor: where they occur, and, with ``string``, what they are.
+
+    A flush tells each of its different strings once, with the least and the largest ``doc_id`` (``low``, ``high``) and the number of its
+    places; ``off`` is the anchor's place in the string. Places have ``doc_id, text_hash, pos`` instead.
+    """
 
     def cut(batches):
         for pieces, rows, places, told in flushes(batches, [1, 2, 3], length):
@@ -218,17 +241,29 @@ def strings_of(docs: DataFrame, found: DataFrame, length: int, buckets: int) ->
             row = np.array(rows, np.int64)[s.piece]
             spread = lambda r, ident: ident ^ (r.astype(np.uint64) * np.uint64(PRIME))
             known = np.concatenate([spread(np.full(len(t[2]), r), np.array(t[2], np.int64).astype(np.uint64)) for r, t in enumerate(told)])
-            keep = np.isin(spread(row, idents(s.key, buckets)), known)
-            first, row, sizes = s.first[keep], row[keep], s.last[keep] - s.first[keep] + length
-            ends = np.cumsum(sizes)
-            taken = s.raw[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-            strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(taken.tobytes())])
+            keep = np.flatnonzero(np.isin(spread(row, idents(s.key, buckets)), known))
+            if not len(keep):
+                continue
+            first, row, key = s.first[keep], row[keep], s.key[keep].view(np.int64)
             pos = first - s.begins[s.piece[keep]] + np.array(places, np.int64)[s.piece[keep]]
             ids, hashes = (np.array([t[k] for t in told], np.int64)[row] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(pos), pa.array(s.key[keep].view(np.int64)), pa.array((s.anchor[keep] - first).astype(np.int32)), strings], ["doc_id", "text_hash", "pos", "key", "off", "string"])
+            raw, numbers = s.raw.tobytes(), {}
+            number = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(first.tolist(), (s.last[keep] + length).tolist(), strict=True)])
+            digest = np.array([xxhash.xxh64_intdigest(x) for x in numbers], np.uint64).view(np.int64)
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(number[order]) > 0))
+            one = order[starts]
+            low, high = (f.reduceat(ids[order], starts) for f in (np.minimum, np.maximum))
+            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+            k, m = len(numbers), len(number)
+            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), *map(pa.array, (key[one], digest, low, high, np.diff(np.append(starts, m)))), pa.array((s.anchor[keep] - first)[one].astype(np.int32)), pa.array(list(numbers), pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, hashes, pos, key, digest[number])), none(m), none(m), none(m), none(m, pa.int32()), none(m, pa.binary())], NAMES)
 
     wanted = docs.join(found, "doc_id").select("text", "doc_id", "text_hash", "found")
-    return wanted.mapInArrow(cut, "doc_id long, text_hash long, pos long, key long, off int, string binary")
+    return wanted.mapInArrow(cut, STRINGS)
+
+
+NAMES = [x.split()[0] for x in STRINGS.split(", ")]
 
 
 def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -293,10 +328,10 @@ def least_by_window(strings: list[bytes], off: np.ndarray, low: np.ndarray, leng
     return found[::-1].T
 
 
-def first_seen(merged: DataFrame, length: int) -> DataFrame:
+def first_seen(told: DataFrame, length: int) -> DataFrame:
     """``(key, string_hash, n, first, last, least)``: runs of windows of a string that a document before one of its own has.
 
-    ``merged`` has one row for each different string: ``key, string_hash, low, high, n, off, string``.
+    ``told`` has ``key, string_hash, low, high, n, off, string``, for each string as often as flushes held it.
     """
     widest = length - GRAM
 
@@ -319,6 +354,10 @@ def first_seen(merged: DataFrame, length: int) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:2] == rows[-1][:2]:
+                    _, _, n, low, high, off, string = rows[-1]
+                    rows[-1] = (*row[:2], n + row[2], min(low, row[3]), max(high, row[4]), off, string)
+                    continue
                 if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
                     yield compared(rows)
                     rows = []
@@ -327,20 +366,32 @@ def first_seen(merged: DataFrame, length: int) -> DataFrame:
             yield compared(rows)
 
     schema = "key long, string_hash long, n long, first long, last long, least long"
-    crowded = Stored(merged.groupBy("key").count().where(F.col("count") > COLLECTION).select("key"), "crowded").df
+    crowded = Stored(told.groupBy("key").count().where(F.col("count") > COLLECTION).select("key"), "crowded").df
     some = crowded.limit(1).count() > 0
-    few = merged.join(crowded, "key", "left_anti") if some else merged
-    found = few.select("key", "string_hash", "n", "low", "high", "off", "string").repartition("key").sortWithinPartitions("key").mapInArrow(collections, schema)
+    few = told.join(crowded, "key", "left_anti") if some else told
+    found = few.select("key", "string_hash", "n", "low", "high", "off", "string").repartition("key").sortWithinPartitions("key", "string_hash").mapInArrow(collections, schema)
     if not some:
         return found
     # One row a window, equal ones merged before they are dealt out.
-    each = merged.join(crowded, "key", "left_semi").select("key", "string_hash", "n", "low", "high", "string", F.explode(F.sequence(F.lit(0), F.length("string") - length)).alias("first"))
+    merged = told.join(crowded, "key", "left_semi").groupBy("key", "string_hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.first("string").alias("string"))
+    each = merged.select("key", "string_hash", "n", "low", "high", "string", F.explode(F.sequence(F.lit(0), F.length("string") - length)).alias("first"))
     window = each.withColumn("window", F.expr(f"substring(string, first + 1, {length})")).drop("string")
     least = window.groupBy("window").agg(F.min("low").alias("least"))
     many = window.join(least, "window").where("least < high")
     return found.unionByName(many.select("key", "string_hash", "n", F.col("first").cast("long").alias("first"), F.col("first").cast("long").alias("last"), "least"))
 
 
+def freed(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are over.
+
+    It does so when the driver collects garbage: once for what Python held, once more for what that had held in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(doc_id, text_hash, spans)``: byte ranges (not merged) that a document with a smaller id holds, too.
 
@@ -351,18 +402,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = shared_anchors(rows, length, buckets)
-    at = Stored(strings_of(rows, found, length, buckets).withColumn("string_hash", F.xxhash64("string")), "strings")
-    merged = Stored(at.df.groupBy("key", "string_hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.first("off").alias("off"), F.first("string").alias("string")), "merged")
-    runs = Stored(first_seen(merged.df, length), "runs")
-    bound = max(1000, (merged.df.agg(F.sum("n")).first()[0] or 0) // HEAVY)
-    told = at.df.select("doc_id", "text_hash", "pos", "key", "string_hash")
+    sent = Stored(sent_anchors(rows, length, buckets), "anchors")
+    found = Stored(shared_anchors(sent.df, buckets), "found")
+    sent.drop()
+    freed(spark)
+    at = Stored(strings_of(rows, found.df, length, buckets), "strings")
+    found.drop()
+    freed(spark)
+    runs = Stored(first_seen(at.df.where("string is not null").drop("doc_id", "text_hash", "pos"), length), "runs")
+    freed(spark)
+    bound = max(1000, (at.df.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    told = at.df.where("string_hash is not null and doc_id is not null").select("doc_id", "text_hash", "pos", "key", "string_hash")
     # Strings with many occurrences are few: at most HEAVY, each with at most one run a window.
     heavy = told.join(F.broadcast(runs.df.where(F.col("n") > bound)), ["key", "string_hash"])
     light = told.join(runs.df.where(F.col("n") <= bound), ["key", "string_hash"])
     hit = heavy.unionByName(light).where("least < doc_id")
     span = F.struct((F.col("pos") + F.col("first")).alias("a"), (F.col("pos") + F.col("last") + length).alias("b"))
-    return hit.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("spans"))
+    spans = Stored(hit.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("spans")), "spans")
+    at.drop()
+    runs.drop()
+    freed(spark)
+    return spans.df
 
 
 def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
