@@ -116,7 +116,7 @@ def grouped(batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def partitions(df: DataFrame, tiling: Tiling) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiling.tiles // 4)
+    return max(1, min(tiling.tiles, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiling.tiles // 4)))
 
 
 def by_tile(df: DataFrame, tiling: Tiling, *order: str) -> DataFrame:

@@ -110,13 +110,20 @@ POINTS = [(3, 3), (0, 0), (49, 10), (25, 5), (3, 4), (10, 2), (10, 3), (40, 9)]
 
 
 def bfs_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tree.MergeTree(shed(spark, sf_dir)).bfs(0)
-    return spark.createDataFrame([(i, b, d) for i, (b, d) in enumerate(found)], "ordinal long, basin_id int, depth int")
+    return tree.tree_bfs(shed(spark, sf_dir).merges, 0)
 
 
 def tree_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tree.MergeTree(shed(spark, sf_dir))
-    return spark.createDataFrame([(i, b) for i, b in enumerate(t.path(max(t.nodes), max(t.nodes) // 2))], "ordinal long, basin_id int")
+    """Between the last basin and the one in the middle."""
+    w = shed(spark, sf_dir)
+    ends = w.basins.agg(F.max("basin_id").alias("a")).select(F.lit(0).alias("pair_id"), "a", F.expr("cast(a div 2 as int)").alias("b"))
+    return tree.tree_paths(w.merges, ends).drop("pair_id")
+
+
+def tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every basin the way to the one with half its number."""
+    w = shed(spark, sf_dir)
+    return tree.tree_paths(w.merges, w.basins.select(F.col("basin_id").alias("pair_id"), F.col("basin_id").alias("a"), F.expr("cast(basin_id div 2 as int)").alias("b")))
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_tree_nodes": with_tree(lambda b, m: tree.tree_nodes(b, m).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))),
     "tree_neighbors": with_tree(lambda b, m: tree.tree_edges(m)),
     "tree_path": tree_path,
+    "tree_pairs": tree_pairs,
     "tree_bfs": bfs_rows,
     "basin_of_point": lambda s, d: shed(s, d).labels.join(named_points(s), "lin"),
     "basins_containing": lambda s, d: tree.basins_containing(shed(s, d).labels, named_points(s)).withColumn("points", F.array_join(F.col("points").cast("array<string>"), ",")),
@@ -368,6 +376,9 @@ ORACLES: dict[str, str] = {
     "tree_neighbors": f"{M} select deeper as basin_id, merge_id as ordinal, shallower as neighbor from merges union all select shallower, 2147483647, deeper from merges",
     "tree_path": f"{M}, ends3 as (select max(basin_id) as a, max(basin_id) // 2 as b from basins), up(side, basin_id, d) as (select 0, a, 0 from ends3 union all select 1, b, 0 from ends3 union all select u.side, m.deeper, u.d + 1 from up u join merges m on m.shallower = u.basin_id), "
     "turn as (select min(x.d) as da, min(y.d) as db from up x join up y on x.basin_id = y.basin_id where x.side = 0 and y.side = 1) select cast(case when side = 0 then d else da + db - d end as bigint) as ordinal, basin_id::int as basin_id from up, turn where (side = 0 and d <= da) or (side = 1 and d < db)",
+    "tree_pairs": f"{M}, up(start, basin, d) as (select basin_id, basin_id, 0 from basins union all select u.start, m.deeper, u.d + 1 from up u join merges m on m.shallower = u.basin), "
+    "turn as (select x.start as pair_id, min(x.d) as da, min(y.d) as db from up x join up y on y.start = x.start // 2 and y.basin = x.basin group by 1) "
+    "select t.pair_id::int as pair_id, x.d::bigint as ordinal, x.basin::int as basin_id from turn t join up x on x.start = t.pair_id and x.d <= t.da union all select t.pair_id::int, (t.da + t.db - y.d)::bigint, y.basin::int from turn t join up y on y.start = t.pair_id // 2 and y.d < t.db",
     "basin_of_point": f"{M}, pt(ordinal, lin) as (values {POINT_ROWS}) select l.lin, l.label, pt.ordinal::bigint as ordinal from labels l join pt on pt.lin = l.lin",
     "basins_containing": f"{M}, pt(ordinal, lin) as (values {POINT_ROWS}) select l.label as basin_id, string_agg(pt.lin::varchar, ',' order by pt.ordinal) as points from labels l join pt on pt.lin = l.lin where l.label >= 0 group by 1",
     "basin_mask": f"{M} select lin, label = 0 as inside from labels",

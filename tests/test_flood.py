@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corrie.operators import flood, paths, tree
 from corrie.operators.flood import Watershed, find_watershed_segmentation
@@ -107,6 +108,23 @@ def test_tree(spark):
         t.basin_of_point((0, 0))
 
 
+def test_walks_in_tables_equal_those_of_the_driver(spark):
+    shed = Watershed(from_array(spark, seeded((7, 8), 0.1, 6, 20)))
+    t = tree.MergeTree(shed)
+    last = max(t.nodes)
+    pairs = [(k, k, (k * 5 + 3) % (last + 1)) for k in range(last + 1)]
+    found = tree.tree_paths(shed.merges, spark.createDataFrame(pairs, "pair_id int, a int, b int")).collect()
+    for k, a, b in pairs:
+        got = [r.basin_id for r in sorted((r for r in found if r.pair_id == k), key=lambda r: r.ordinal)]
+        try:
+            assert got == t.path(a, b)
+        except KeyError:
+            assert got == []
+    walk = lambda rows: [(r.basin_id, r.depth) for r in sorted(rows.collect(), key=lambda r: r.ordinal)]
+    assert walk(tree.tree_bfs(shed.merges, 0)) == list(t.bfs(0))
+    assert walk(tree.tree_bfs(shed.merges, 1, F.col("neighbor") % 3 != 2)) == list(t.bfs(1, advance=lambda a, b: b % 3 != 2))
+
+
 def test_tree_does_not_need_sorted_merges(spark):
     basins = spark.createDataFrame([(0, 0, 0.0), (1, 1, 1.0), (2, 2, 2.0)], "basin_id int, lin long, e double")
     merges = spark.createDataFrame([(0, 5, 6, 5.0, 0, 1, 0), (1, 7, 8, 4.0, 1, 2, 1)], "merge_id int, saddle long, other long, e double, deeper int, shallower int, saddle_side int")
