@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from corrie.llm.common import Stored, map_arrow
 
 LENGTH = 50
-#: Bytes of the grams among which anchors are chosen.
-GRAM = 24
+#: Bytes of the grams among which anchors are chosen. Longer ones are shared by chance less often, shorter ones are fewer.
+GRAM = 20
 #: Bytes of texts handled together; less than 2 ** 24, since places in them take 24 bits.
 FLUSH = 1 << 22
 #: Bytes hashed at once, few enough for a processor's cache.
@@ -53,6 +53,8 @@ COLLECTION = 1 << 16
 HEAVY = 10_000
 
 PRIME = 0x9E3779B97F4A7C15
+#: Stands for a document where a hash is known to be shared.
+MARK = -(2**63)
 LOW24 = np.uint64((1 << 24) - 1)
 
 
@@ -192,26 +194,34 @@ def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
     def settle(batches):
         def shared(bucket, keys, ids):
             key = np.concatenate([np.frombuffer(k, np.uint32) for k in keys])
-            doc = np.concatenate([np.frombuffer(d, np.int64) if d else np.full(len(k) // 4, -(2**63)) for k, d in zip(keys, ids, strict=True)])
+            doc = np.concatenate([np.frombuffer(d, np.int64) if d else np.full(len(k) // 4, MARK) for k, d in zip(keys, ids, strict=True)])
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
             # The mark of a hash that a flush has settled sorts first, and differs from every id.
-            keep = np.repeat(doc[starts] != doc[np.append(starts[1:], len(key)) - 1], sizes) & (doc != -(2**63))
-            return by_doc(doc[keep], key[keep].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket))
+            keep = np.repeat(doc[starts] != doc[np.append(starts[1:], len(key)) - 1], sizes) & (doc != MARK)
+            return doc[keep], key[keep].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
-        now, keys, ids = None, [], []
+        def sent():
+            return by_doc(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+        now, keys, ids, found = None, [], [], []
         for batch in batches:
             for bucket, k, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != now and keys:
-                    yield shared(now, keys, ids)
+                    found.append(shared(now, keys, ids))
                     keys, ids = [], []
+                    if sum(len(x[0]) for x in found) > FLUSH:
+                        yield sent()
+                        found = []
                 now = bucket
                 keys.append(k)
                 ids.append(d)
         if keys:
-            yield shared(now, keys, ids)
+            found.append(shared(now, keys, ids))
+        if found:
+            yield sent()
 
     def unpacked(batches):
         for batch in batches:
@@ -281,24 +291,22 @@ def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return out
 
 
-def least_by_window(strings: list[bytes], off: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+def least_by_window(raw: np.ndarray, sizes: np.ndarray, off: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
     """``(n, length - GRAM + 1)``: the least ``low`` of the strings that hold the window which starts so many bytes
-    before the anchor's latest place; the string's own where it has no such window.
+    before the anchor's latest place; the string's own where it has no such window. ``raw`` holds the strings one after the other.
 
     One symbol of each string is taken in a round. ``order`` sorts the strings by what they have shown so far, and
     ``common`` holds the length of the prefix that each shares with the one before it, up to ``length``.
     """
-    n, widest = len(strings), length - GRAM
-    sizes = np.fromiter(map(len, strings), np.int64, n)
+    n, widest = len(sizes), length - GRAM
     left = widest - off.astype(np.int64)
     right = left + sizes
     columns = widest + length
     with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as answers:
-        raw, begins = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes
+        begins = np.cumsum(sizes) - sizes
         for c in reversed(range(columns)):
             at = np.where((left <= c) & (c < right), begins + c - left, 0)
             symbols.write(raw[at].tobytes())
-        del raw
         symbols.seek(0)
         order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
         by_end = np.argsort(right, kind="stable")
@@ -335,11 +343,17 @@ def first_seen(told: DataFrame, length: int) -> DataFrame:
     """
     widest = length - GRAM
 
-    def compared(rows: list[tuple]) -> pa.RecordBatch:
-        key, hashes, n, low, high, off = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:6])
-        strings = [r[6] for r in rows]
-        least = least_by_window(strings, off, low, length)
-        windows = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    def compared(columns: list[np.ndarray], strings: pa.Array) -> pa.RecordBatch:
+        """Rows of whole keys, sorted: equal strings are merged, and the others make a collection."""
+        key, hashes, n, low, high, off = columns
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])))
+        n, low, high = np.add.reduceat(n, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+        key, hashes, off, strings = key[starts], hashes[starts], off[starts].astype(np.int64), strings.take(pa.array(starts))
+        _, offsets, data = strings.buffers()
+        edges = np.frombuffer(offsets, np.int32)[strings.offset :][: len(strings) + 1].astype(np.int64)
+        raw, sizes = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]], np.diff(edges)
+        least = least_by_window(raw, sizes, off, low, length)
+        windows = sizes - length + 1
         column, begin = np.arange(widest + 1), widest - off
         there = (column >= begin[:, None]) & (column < (begin + windows)[:, None]) & (least < high[:, None])
         runs = there.copy()
@@ -347,23 +361,28 @@ def first_seen(told: DataFrame, length: int) -> DataFrame:
         over = there.copy()
         over[:, :-1] &= ~there[:, 1:] | (least[:, 1:] != least[:, :-1])
         (row, a), (_, b) = np.nonzero(runs), np.nonzero(over)
-        columns = [key[row], hashes[row], n[row], a - begin[row], b - begin[row], least[row, a]]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "string_hash", "n", "first", "last", "least"])
+        found = [key[row], hashes[row], n[row], a - begin[row], b - begin[row], least[row, a]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["key", "string_hash", "n", "first", "last", "least"])
 
     def collections(batches):
-        rows: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def joined():
+            return [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(6)], pa.concat_arrays([b.column(6) for b in held])
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and row[:2] == rows[-1][:2]:
-                    _, _, n, low, high, off, string = rows[-1]
-                    rows[-1] = (*row[:2], n + row[2], min(low, row[3]), max(high, row[4]), off, string)
-                    continue
-                if len(rows) >= COLLECTION and row[0] != rows[-1][0]:
-                    yield compared(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield compared(rows)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < COLLECTION:
+                continue
+            columns, strings = joined()
+            ends = np.flatnonzero(columns[0][1:] != columns[0][:-1])
+            if len(ends):
+                at = int(ends[-1]) + 1
+                yield compared([c[:at] for c in columns], strings[:at])
+                rest = [pa.array(c[at:]) for c in columns] + [strings[at:]]
+                held = [pa.RecordBatch.from_arrays(rest, batch.schema.names)]
+        if sum(b.num_rows for b in held):
+            yield compared(*joined())
 
     schema = "key long, string_hash long, n long, first long, last long, least long"
     crowded = Stored(told.groupBy("key").count().where(F.col("count") > COLLECTION).select("key"), "crowded").df
