@@ -7,7 +7,7 @@ the orders are walked over at most ``2 ** filters`` cells. The walk visits all o
 
 A null text is empty. A null ``source`` is the part ``''``, together with sources that are empty. Rows with one ``doc_id`` are all counted;
 no text is a copy of one with an equal or a null ``doc_id``, and a document is good or toxic if any of its label
-rows says so. An empty table has no parts. Further columns are not looked at.
+rows says so. A very long text is read whole, one at a time. An empty table has no parts. Further columns are not looked at.
 """
 
 from __future__ import annotations

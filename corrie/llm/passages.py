@@ -203,25 +203,17 @@ def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
             keep = np.repeat(doc[starts] != doc[np.append(starts[1:], len(key)) - 1], sizes) & (doc != MARK)
             return doc[keep], key[keep].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
-        def sent():
-            return by_doc(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-        now, keys, ids, found = None, [], [], []
+        now, keys, ids = None, [], []
         for batch in batches:
             for bucket, k, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != now and keys:
-                    found.append(shared(now, keys, ids))
+                    yield by_doc(*shared(now, keys, ids))
                     keys, ids = [], []
-                    if sum(len(x[0]) for x in found) > FLUSH:
-                        yield sent()
-                        found = []
                 now = bucket
                 keys.append(k)
                 ids.append(d)
         if keys:
-            found.append(shared(now, keys, ids))
-        if found:
-            yield sent()
+            yield by_doc(*shared(now, keys, ids))
 
     def unpacked(batches):
         for batch in batches:
