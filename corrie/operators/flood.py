@@ -328,7 +328,7 @@ class Watershed:
         """Release labels and parents, their files included; basins, merges and what follows from them stay."""
         self.basins, self.merge_list  # noqa: B018  made before their sources go
         self.dropped = True
-        for name in ("tiles", "told", "ends", "labels_table"):
+        for name in ("tiles", "told", "ends", "roots", "leaf", "parents_table", "edges", "labels_table"):
             self.__dict__.pop(name, None)
         self.kept.drop()
 
