@@ -26,6 +26,8 @@ from corrie.store import ship, stored
 TILE = 1 << 20
 #: Cells a packing task holds before it sends them.
 HELD = 1 << 20
+#: Places in a box, which has fewer than 2 ** 31 cells.
+PLACE = np.int32
 #: Key of masked cells, after every other.
 MASKED = np.iinfo(np.int64).max
 
@@ -152,8 +154,9 @@ def packed(grid: Grid) -> Blocks:
             tile, local = tiling.locate(lin)
             tile = np.where((lin < 0) | (lin >= size), -1, tile)
             if np.any(tile[1:] < tile[:-1]):
-                order = np.argsort(tile, kind="stable")
+                order = np.argsort(tile.astype(np.int16) if tiling.tiles < 2**15 else tile, kind="stable")
                 tile, local, e = tile[order], local[order], e[order]
+            local = local.astype(PLACE)
             starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             ends = np.append(starts[1:], len(tile))
             return pa.RecordBatch.from_arrays([pa.array(tile[starts]), *(pa.array([v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for v in (local, e))], ["tile", "at", "e"])
@@ -178,7 +181,7 @@ def packed(grid: Grid) -> Blocks:
             n = 0
             if whole:
                 for _, at, e in rows:
-                    at = np.frombuffer(at, np.int64)
+                    at = np.frombuffer(at, PLACE)
                     out[at], seen[at] = np.frombuffer(e, dtype), True
                     n += len(at)
                 inner = tuple(slice(0, m) for m in tiling.extent(tile))
