@@ -142,9 +142,11 @@ def joined_groups(shared: Stored, nodes: DataFrame, fits, verify, stars: int = 2
     links. First, each node meets one node of each of its keys, the least; in the next star round, one that
     is in another group by then. Those pairs grow with the entries only, and they join the crowds of copies.
     Then all pairs under a key whose nodes are in different groups are verified. Pairs inside a group are
-    not, since a link would change nothing: the groups are those of all links, whatever the sizes.
+    not, since a link would change nothing: the groups are those of all links, whatever the sizes. No pair is
+    verified twice.
     """
     linked: list[Stored] = []
+    known: list[Stored] = []
     groups: Stored | None = None
     for round_ in range(stars + 1):
         if groups is None:
@@ -161,13 +163,16 @@ def joined_groups(shared: Stored, nodes: DataFrame, fits, verify, stars: int = 2
             wanted = open_.where("n <> centre").select(F.struct(*nodes.columns).alias("x"), "centre").distinct()
             side = nodes.select(F.struct(*nodes.columns).alias("y"), F.col("n").alias("centre"))
             pairs = wanted.join(side, "centre").where(fits(F.col("x"), F.col("y"))).select(F.least("x.n", "y.n").alias("a"), F.greatest("x.n", "y.n").alias("b")).distinct()
+        for earlier in known:
+            pairs = pairs.join(earlier.df, ["a", "b"], "left_anti")
         tried = Stored(pairs, "pairs")
+        known.append(tried)
         linked.append(Stored(verify(tried.df), "linked"))
         before, groups = groups, Stored(components(reduce(DataFrame.unionByName, [x.df for x in linked])), "groups")
-        for table_ in (tried, now, before):
+        for table_ in (now, before):
             if table_ is not None:
                 table_.drop()
-    for table_ in (shared, *linked):
+    for table_ in (shared, *known, *linked):
         table_.drop()
     return groups.df
 
