@@ -107,10 +107,10 @@ def with_least(edges: DataFrame, bound: int, where: str) -> DataFrame:
     return told.where("m is not null").unionByName(light)
 
 
-def met(entries: DataFrame, key: str = "key", node: str = "n") -> DataFrame:
-    """``(key, n, first, members)``: entries whose key has several nodes, with the least node and how many there are."""
+def met(entries: DataFrame, key: str = "key", node: str = "n", *more: str) -> DataFrame:
+    """``(key, n, first, members)`` and ``more``: entries whose key has several nodes, with the least node and how many there are."""
     keys = entries.groupBy(key).agg(F.min(node).alias("first"), F.count("*").alias("members")).where("members > 1")
-    return entries.join(keys, key).select(F.col(key).alias("key"), F.col(node).alias("n"), "first", "members")
+    return entries.join(keys, key).select(F.col(key).alias("key"), F.col(node).alias("n"), "first", "members", *more)
 
 
 #: Members of a key that meet in one task when all pairs of its parts are formed.
