@@ -11,6 +11,7 @@ Pieces get their rank among equal lengths from partition-wise counts, with no so
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ from corrie.llm.token_counts import byte_symbols
 
 #: The split of byte-level vocabularies before the merges (a fixed, published pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks after a word that are a pre-token of their own.
+CLAUSE = frozenset(".,;:!?")
 #: Entries of the caches of one Python worker.
 MEMO = 400_000
 #: Cut pieces up to which they are broadcast to find their tokens; beyond it both sides are shuffled.
@@ -55,11 +58,20 @@ class Encoder:
         self.pattern = regex.compile(SPLIT)
         self.symbols = dict(enumerate(byte_symbols()))
         self.pre_tokens = Memo(self.pre_token, MEMO)
-        self.parts = Memo(lambda part: self.plain(" " + part), MEMO)
+        self.parts = Memo(self.part, MEMO)
+        self.packed = "<%dH" if self.dtype.itemsize == 2 else "<%dI"
 
     def pre_token(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(self.packed % len(ids), *ids)
+
+    def part(self, part: str) -> bytes:
+        """A blank and what follows it. Letters alone, or with one mark that ends a clause, need no pattern."""
+        if part.isalpha():
+            return self.pre_token(" " + part)
+        if part[-1:] in CLAUSE and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.pre_tokens[part[-1]]
+        return self.plain(" " + part)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.pre_tokens.__getitem__, self.pattern.findall(text)))

@@ -94,3 +94,21 @@ def test_pieces_hold_each_document(spark, monkeypatch, broadcast_rows):
         assert at <= 2048
     assert len(sequences) == -(-sum(map(len, want)) // 2048)
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_words_with_a_mark_need_no_pattern():
+    """Words of letters are encoded once, with or without the mark that ends a clause, and equal the library's."""
+    definition = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    code, seen = packing.Encoder(definition), []
+    pattern = code.pattern
+
+    class Watched:
+        def findall(self, text):
+            seen.append(text)
+            return pattern.findall(text)
+
+    code.pattern = Watched()
+    text = "x größer alpha, alpha. alpha größer; it's a1, x.. ², áb. ,"
+    got = np.frombuffer(code.encode(text), code.dtype).tolist()
+    assert got == Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids
+    assert seen == ["x", " it's", " a1,", " x..", " ²,", " áb.", " ,"]
