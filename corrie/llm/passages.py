@@ -26,10 +26,8 @@ taken in pieces of ``FLUSH`` bytes. Further columns are not looked at.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrie.llm.common import Stored, map_arrow
+from corrie.llm.common import Stored, freed, map_arrow
 
 LENGTH = 50
 #: Bytes of the grams among which anchors are chosen. Longer ones are shared by chance less often, shorter ones are fewer.
@@ -392,17 +390,6 @@ def first_seen(told: DataFrame, length: int) -> DataFrame:
     return found.unionByName(many.select("key", "string_hash", "n", F.col("first").cast("long").alias("first"), F.col("first").cast("long").alias("last"), "least"))
 
 
-def freed(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that are over.
-
-    It does so when the driver collects garbage: once for what Python held, once more for what that had held in the JVM.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(doc_id, text_hash, spans)``: byte ranges (not merged) that a document with a smaller id holds, too.
 
